@@ -43,6 +43,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors' Python workers, once per application."""
+    import os
+    import shutil
+
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="feedloom-code-")  # of the driver; Spark serves the file to the executors
+    root = os.path.join(folder, "root")
+    shutil.copytree(package, os.path.join(root, os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "feedloom_code"), "zip", root))
+    _SHIPPED.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema) with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (counted), else df unchanged for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -87,6 +112,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators of words: white space, or all ASCII but letters and digits.
+_PUNCT = np.ones(256, bool)
+_PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 CHUNK = 1 << 20
 
 
@@ -99,12 +127,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of data (bytes) and their start offsets; no word crosses one of bounds."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~apart[data]
     cut_at = np.zeros(n + 1, bool)
     cut_at[bounds[bounds <= n]] = True
     before = np.empty(n, bool)
@@ -134,28 +162,30 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)), offsets
 
 
-def doc_words(data: np.ndarray, offsets: np.ndarray):
+def doc_words(data: np.ndarray, offsets: np.ndarray, letters: bool = False):
     """Yield (first, word hashes, pointers) for runs of documents of about CHUNK bytes.
 
+    Words end at white space or, with letters, at any ASCII character but letters and digits.
     Document first+i has the words hashes[pointers[i]:pointers[i+1]]. A text longer than CHUNK is hashed
-    in pieces cut at white space, so the working memory beside the hashes stays bounded.
+    in pieces cut between words, so the working memory beside the hashes stays bounded.
     """
+    apart = _PUNCT if letters else _SPACE
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1, i + 1)
         j = min(j, n)
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo <= 2 * CHUNK:
-            h, starts = _hash_words(data[lo:hi], offsets[i : j + 1] - lo)
+            h, starts = _hash_words(data[lo:hi], offsets[i : j + 1] - lo, apart)
             yield i, h, np.searchsorted(starts, offsets[i : j + 1] - lo)
         else:
             parts, at = [], lo
             while at < hi:
                 end = min(at + CHUNK, hi)
-                while end < hi and not _SPACE[data[end]]:
-                    more = np.flatnonzero(_SPACE[data[end : end + CHUNK]])
+                while end < hi and not apart[data[end]]:
+                    more = np.flatnonzero(apart[data[end : end + CHUNK]])
                     end = min(end + (int(more[0]) if len(more) else CHUNK), hi)
-                parts.append(_hash_words(data[at:end], np.zeros(1, np.int64))[0])
+                parts.append(_hash_words(data[at:end], np.zeros(1, np.int64), apart)[0])
                 at = end
             h = np.concatenate(parts)
             yield i, h, np.array([0, len(h)])

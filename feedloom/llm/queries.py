@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .op01_url_filter import op1_url_filter
+from .op02_toxicity import op2_toxicity
 from .op03_sharding import op3_sharding
+from .op05_bpe import op5_bpe
+from .op08_quality import op8_quality
 from .op09_line_dedup import op9_line_dedup
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op5_bpe": op5_bpe,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
 }
 
