@@ -5,17 +5,25 @@ from __future__ import annotations
 from .op01_url_filter import op1_url_filter
 from .op02_toxicity import op2_toxicity
 from .op03_sharding import op3_sharding
+from .op04_pii import op4_pii
 from .op05_bpe import op5_bpe
+from .op06_decontaminate import op6_decontaminate
+from .op07_jaccard_join import op7_jaccard_join
 from .op08_quality import op8_quality
 from .op09_line_dedup import op9_line_dedup
+from .op10_embedding_dedup import op10_embedding_dedup
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE: dict[str, str] = {
