@@ -199,7 +199,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         out = np.array([len(h)], U)
         for x in h:
-            out = mix64(out * U(0x9E3779B97F4A7C15) + x)
+            out = mix64(out * np.array([0x9E3779B97F4A7C15], U) + x)
         return out
     m = len(h) - k + 1
     out = np.full(m, U(k))

@@ -22,8 +22,11 @@ _EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9@.+()_:-]*[0-9][A-Za-z0-9@.+()_:-]*")
-_WORD = re.compile(r"[^\s]+")
+_NUMBER = re.compile(r"[0-9]+")
+_REST = re.compile(r"[A-Za-z0-9@.+()_:-]*+")
+_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+()_:-")
+#: Length of the longest candidate.
+LONG = 128
 
 
 def _emails(text: str):
@@ -85,6 +88,20 @@ def _context(text: str, a: int, b: int) -> tuple[str, str]:
     return (left[-1].lower()[-32:] if left else ""), (right[0].lower()[:32] if right else "")
 
 
+def _tokens(text: str):
+    """Spans of the runs of letters, digits and signs that hold a digit and whose first digit is near their start."""
+    end = 0
+    for m in _NUMBER.finditer(text):
+        a = m.start()
+        if a < end:
+            continue
+        low = max(end, a - LONG - 1)
+        while a > low and text[a - 1] in _SIGNS:
+            a -= 1
+        end = _REST.match(text, m.end()).end()
+        yield a, end
+
+
 def found_in(text: str) -> tuple[list, list]:
     """Base spans (start, kind, end) and mentions (kind or -1, start, end, value, patterns) of one text."""
     spans = base_spans(text)
@@ -104,13 +121,12 @@ def found_in(text: str) -> tuple[list, list]:
     for a, kind, b in spans:
         tell(kind, a, b)
     i = 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
+    for a, b in _tokens(text):
         while b > a and text[b - 1] in ".:-_(":
             b -= 1
         while a < b and text[a] in ".:-_)":
             a += 1
-        if b - a > 128 or sum(c.isdigit() for c in text[a:b]) < DIGITS:
+        if b - a > LONG or sum(c.isdigit() for c in text[a:b]) < DIGITS:
             continue
         while i < len(taken) and max(taken[i][1], last) <= a:
             last = max(last, taken[i][1])
