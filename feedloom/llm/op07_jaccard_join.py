@@ -27,6 +27,8 @@ SALTS = common.mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 FRAGMENTS = 4
 #: Keys that one pass looks up at once.
 KEYS = 1_000_000
+#: Holders of a key that one piece of work compares at most.
+HOLDERS = 4096
 
 
 def band_starts(percent: int, upto: int) -> list[int]:
@@ -68,6 +70,29 @@ class Schemes:
         return np.concatenate(out)
 
 
+def allowance(a, b, percent: int):
+    """Most shingles that sets of a and b shingles may differ in."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def sketch(h: np.ndarray, percent: int) -> np.ndarray:
+    """A byte for each of many even parts of the hash order, about four a shingle that may differ.
+
+    Sets that differ in d shingles differ in d bytes at most. Adding neighbouring bytes halves a sketch.
+    """
+    parts = 1 << max(4, int(4 * allowance(len(h), len(h), percent)).bit_length())
+    u, total = common.U, np.zeros(len(h) + 1, common.U)
+    np.cumsum(common.mix64(h ^ common.U(0xAAAAAAAAAAAAAAAA)), out=total[1:])
+    at = np.searchsorted(h >> u(64 - parts.bit_length() + 1), np.arange(parts, dtype=u), "right")
+    return (np.diff(total[np.concatenate([[0], at])]) & u(255)).astype(np.uint8)
+
+
+def halved(x: np.ndarray, parts: int) -> np.ndarray:
+    while x.shape[-1] > parts:
+        x = x[..., ::2] + x[..., 1::2]
+    return x
+
+
 def _sets(column, k: int):
     data, offsets = common.text_buffers(column)
     for _, h, at in common.doc_words(data, offsets):
@@ -76,15 +101,15 @@ def _sets(column, k: int):
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, m0..m7, keys) of every document: size, set hash of 128 bits, minhashes, segment keys."""
-    names = ["doc_id", "n", "s1", "s2", *[f"m{i}" for i in range(len(SALTS))], "keys"]
+    """(doc_id, n, s1, s2, m0..m7, keys, sketch) of every document: size, set hash of 128 bits, minhashes, segment keys."""
+    names = ["doc_id", "n", "s1", "s2", *[f"m{i}" for i in range(len(SALTS))], "keys", "sketch"]
 
     def work(batches):
         import pyarrow as pa
 
         schemes, u = Schemes(percent), common.U
         for batch in batches:
-            n, s, m, keys = [], [], [], []
+            n, s, m, keys, marks = [], [], [], [], []
             for h in _sets(batch.column(1), k):
                 n.append(len(h))
                 if len(h):
@@ -92,15 +117,36 @@ def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     s.append((x.sum(dtype=u), common.mix64(x ^ u(0x5555555555555555)).sum(dtype=u)))
                     m.append((SALTS[:, None] * h[None, :] if len(h) < 200_000 else np.stack([(a * h).min(keepdims=True) for a in SALTS])).min(axis=1))
                     keys.append(schemes.keys(h).tobytes())
+                    marks.append(sketch(h, percent).tobytes())
                 else:
                     s.append((0, 0))
                     m.append(np.zeros(len(SALTS), u))
                     keys.append(b"")
+                    marks.append(b"")
             s, m = np.array(s, u).reshape(-1, 2).view(np.int64), np.array(m, u).reshape(-1, len(SALTS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in (*s.T, *m.T)], pa.array(keys, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in (*s.T, *m.T)], pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=names)
+
+    longs = ", ".join(f"{c} long" for c in names[1:-2])
+    return common.arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, {longs}, keys binary, sketch binary")
+
+
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The (x, y) of pairs whose sketches (doc_id, n, sketch) don't differ too much: no linked pair is lost."""
+    side = lambda c: marks.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"))
+    both = pairs.join(side("y"), "y").join(side("x"), "x").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
 
-    longs = ", ".join(f"{c} long" for c in names[1:-1])
-    return common.arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, {longs}, keys binary")
+    def work(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = []
+            for a, b, most in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), allowance(n, 0, percent)):
+                parts = min(len(a), len(b))
+                keep.append(int((halved(np.frombuffer(a, np.uint8), parts) != halved(np.frombuffer(b, np.uint8), parts)).sum()) <= most)
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return common.arrow_map(both.select("x", "y", "n_x", "n_y", "k_x", "k_y"), work, "x long, y long")
 
 
 def _votes(nodes: DataFrame) -> DataFrame:
@@ -165,10 +211,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _candidates(prints: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of nodes of different components with an equal segment. prints: (doc_id, n, keys, component).
+    """(a, b) of nodes of different components with an equal segment. prints: (doc_id, n, keys, component, sketch).
 
     Segment keys go to their partition in packed blocks. In a block, a key that a component holds more than once goes
     once, marked; where such a key turns out to be shared between components, a second look takes all its holders.
+    Of the holders of a key, pairs whose sketches differ too much can't be linked and are left out.
     """
     spark = prints.sparkSession
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -202,42 +249,27 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
             kinds = [pa.int32()] + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["p", "k", "d", "c", "n", "m"])
 
-    def close(n):  # of two sizes
-        return 100 * np.minimum(*n) >= percent * np.maximum(*n)
-
     def find(rows):
-        """Blocks of (kind, a, b) from the rows of one p: pairs (0) and marked keys (1)."""
+        """Blocks of (kind, key, doc, n, component) from the rows of one p: members of shared keys (0), marked keys (1)."""
         six = np.concatenate([np.frombuffer(r[0], np.uint8).reshape(-1, 6) for r in rows])
         key = np.zeros((len(six), 8), np.uint8)
         key[:, :6] = six
-        key = key.view(np.uint64).ravel()
+        key = key.view(np.uint64).ravel().astype(np.int64)
         doc = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
         comp = doc + np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
         n = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(np.int64)
         more = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8))[: len(r[1]) // 8] for r in rows])
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((comp, key))
         key, doc, comp, n, more = key[order], doc[order], comp[order], n[order], more[order]
-        ends = np.concatenate([np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        starts = np.concatenate([[0], ends[:-1]])
-        wide = ends - starts > 1
-        got_a, got_b, held = [], [], 0
-        for a, b in zip(starts[wide], ends[wide]):
-            if (comp[a:b] == comp[a]).all():
-                continue
-            if more[a:b].any():
-                yield np.array([1]), np.array([key[a]]).astype(np.int64), np.array([0])
-                continue
-            for i in range(a, b - 1):
-                other = np.flatnonzero((comp[i + 1 : b] != comp[i]) & close((n[i + 1 : b], n[i]))) + i + 1
-                if len(other):
-                    got_a.append(np.minimum(doc[i], doc[other]))
-                    got_b.append(np.maximum(doc[i], doc[other]))
-                    held += len(other)
-            if held > 1_000_000:
-                yield _distinct(got_a, got_b)
-                got_a, got_b, held = [], [], 0
-        if held:
-            yield _distinct(got_a, got_b)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        shared = comp[first] != comp[first + size - 1]
+        marked = np.maximum.reduceat(more, first) > 0
+        pick = np.repeat(shared & ~marked, size)
+        yield np.zeros(int(pick.sum()), int), key[pick], doc[pick], n[pick], comp[pick]
+        held = key[first[shared & marked]]
+        none = np.zeros(len(held), int)
+        yield none + 1, held, none, none, none
 
     def match(batches):
         import pyarrow as pa
@@ -255,19 +287,16 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
             if rows:
                 yield from find(rows)
 
-        for kind, a, b in blocks():
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+        for kind, *rest in blocks():
+            if len(kind):
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in rest]], names=["kind", "key", "doc", "n", "comp"])
 
     packed = common.arrow_map(prints.select("doc_id", "n", "keys", "component"), pack, "p int, k binary, d binary, c binary, n binary, m binary")
     packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p").sortWithinPartitions("p")
-    found = common.cut(common.arrow_map(packed, match, "kind int, a long, b long"), "pairs")
-    pairs = found.where("kind = 0").select("a", "b")
-    marked = common.cut(found.where("kind = 1").select(F.col("a").alias("key")).distinct(), "marked")
-    count = marked.count()
-    if not count:
-        return pairs.distinct()
-    holders = []
-    passes = -(-count // KEYS)
+    found = common.cut(common.arrow_map(packed, match, "kind int, key long, doc long, n long, comp long"), "members")
+    members = found.where("kind = 0").select("key", "doc", "n", "comp")
+    marked = common.cut(found.where("kind = 1").select("key").distinct(), "marked")
+    passes = -(-marked.count() // KEYS)
     for i in range(passes):  # one pass, unless there are more than KEYS marked keys
         ask = marked.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == i) if passes > 1 else marked
 
@@ -286,19 +315,50 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
 
         # KEYS numbers at most (twice that if the hash is uneven)
         shared = spark.sparkContext.broadcast(np.sort(ask.toPandas()["key"].to_numpy(np.int64)))
-        holders.append(common.cut(common.arrow_map(prints.select("doc_id", "n", "keys", "component"), look, "key long, doc long, n long, comp long"), "holders"))
-    for h in holders:
-        main = h.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        h = common.cut(h.join(main, "key"), "split")
-        few = h.where("comp <> main").select("key", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-        near = (F.col("comp") != F.col("c_a")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("doc"))) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-        pairs = pairs.unionByName(few.join(h, "key").where(near).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")))
-    return pairs.distinct()
+        members = members.unionByName(common.cut(common.arrow_map(prints.select("doc_id", "n", "keys", "component"), look, "key long, doc long, n long, comp long"), "holders"))
+    members = common.cut(members.distinct(), "members")
+    # keys of very many holders are compared in blocks, so that a piece of work is bounded
+    size = members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOLDERS)
+    large = common.broadcast_if_small(common.cut(size.select("key", F.ceil(F.col("c") / (HOLDERS // 2)).cast("int").alias("b")), "large"))
+    spot = F.pmod(F.xxhash64("doc"), F.coalesce("b", F.lit(1))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.coalesce("b", F.lit(1)) - 1), lambda i: F.struct(F.least(i, spot).alias("i"), F.greatest(i, spot).alias("j"), spot.alias("own")))
+    work = members.join(large, "key", "left").select("key", "doc", "n", "comp", F.explode(parts).alias("t")).select("key", "t.i", "t.j", "t.own", "doc", "n", "comp")
+    work = work.join(prints.select(F.col("doc_id").alias("doc"), "sketch"), "doc").select("key", "i", "j", "own", "doc", "n", "comp", "sketch")
+
+    def compare(batches):
+        import pyarrow as pa
 
+        def groups():
+            at, rows = None, []
+            for batch in batches:
+                for r in zip(*[batch.column(i).to_pylist() for i in range(8)]):
+                    if r[:3] != at and rows:
+                        yield at, rows
+                        rows = []
+                    at = r[:3]
+                    rows.append(r[3:])
+            if rows:
+                yield at, rows
+
+        for (_, i, j), rows in groups():
+            if len(rows) < 2:
+                continue
+            own, doc, n, comp = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+            width = min(len(r[4]) for r in rows)
+            mark = np.stack([halved(np.frombuffer(r[4], np.uint8), width) for r in rows])
+            for q in range(len(rows) - 1):
+                other = np.arange(q + 1, len(rows))
+                m = n[other]
+                good = (comp[other] != comp[q]) & (100 * np.minimum(m, n[q]) >= percent * np.maximum(m, n[q]))
+                if i != j:
+                    good &= own[other] != own[q]
+                other = other[good]
+                other = other[(mark[other] != mark[q]).sum(1) <= allowance(n[other], n[q], percent)]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[q], doc[other])), pa.array(np.maximum(doc[q], doc[other]))], names=["a", "b"])
 
-def _distinct(a: list, b: list):
-    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return np.zeros(len(pair), int), pair[:, 0], pair[:, 1]
+    work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return common.arrow_map(work, compare, "a long, b long").distinct()
 
 
 def _orient(pairs: DataFrame) -> DataFrame:
@@ -323,12 +383,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     nodes = prints.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in minima])
     nodes = common.cut(nodes, "nodes")
     copies = common.cut(prints.where("n > 0").select("doc_id", "n", "s1", "s2").join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "n", "node"), "copies")
-    links = common.cut(verified(docs, common.cut(_votes(nodes), "votes"), k, percent), "links")
+    marks = prints.select("doc_id", "n", "sketch").where("n > 0")
+    votes = common.cut(plausible(_votes(nodes), marks, percent).distinct(), "votes")
+    links = common.cut(verified(docs, votes, k, percent), "links")
     first = common.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "first")
     grouped = common.broadcast_if_small(first.where("node <> component"))
     only = common.broadcast_if_small(copies.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct())
-    rest = prints.where("n > 0").select(F.col("doc_id").alias("node"), "n", "keys").join(only, "node", "left_anti").join(grouped, "node", "left")
-    rest = rest.select(F.col("node").alias("doc_id"), "n", "keys", F.coalesce("component", "node").alias("component"))
+    rest = prints.where("n > 0").select(F.col("doc_id").alias("node"), "n", "keys", "sketch").join(only, "node", "left_anti").join(grouped, "node", "left")
+    rest = rest.select(F.col("node").alias("doc_id"), "n", "keys", F.coalesce("component", "node").alias("component"), "sketch")
     pairs = common.cut(_candidates(rest, percent), "candidates")
     if pairs.limit(1).count():
         more = common.cut(verified(docs, common.cut(_orient(pairs), "oriented"), k, percent), "links")
