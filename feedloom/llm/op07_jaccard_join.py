@@ -3,9 +3,9 @@
 The global order of the shingles is that of their 64-bit hashes. Cutting this order into fragments cuts every
 document's sorted set into segments. Two uses of the fragments:
 
-* Candidates. Two sets with Jaccard t differ in few shingles for their sizes. Cut into one fragment more than that,
-  they agree in a whole segment at least. So only documents with an equal segment are ever compared: this is
-  exact, and a passage that many documents share makes no candidates unless it fills a segment.
+* Candidates. Two sets with Jaccard t differ in few shingles for their sizes. Cut into a fourth more fragments than that,
+  they agree in a fifth of their segments at least. So only documents with that many equal segments are ever compared: this
+  is exact, and a passage that many documents share makes no candidates unless it fills segments.
 * Counting. For each candidate pair the overlaps of the segments of each fragment are counted apart
   (rows of bounded size, joined by pair and fragment) and summed per pair.
 
@@ -27,8 +27,8 @@ SALTS = common.mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 FRAGMENTS = 4
 #: Keys that one pass looks up at once.
 KEYS = 1_000_000
-#: Holders of a key that one piece of work compares at most.
-HOLDERS = 4096
+#: Holders of a key that one piece of work compares at most; holders of a key whose pairs are counted.
+HOLDERS, FEW = 4096, 16
 
 
 def band_starts(percent: int, upto: int) -> list[int]:
@@ -53,11 +53,21 @@ class Schemes:
         out = []
         for j in (b, b + 1):  # scheme j: the smaller set is of band j - 1
             if j:
-                small = self.starts[j] - 1
-                most = (100 - self.percent) * (small + 100 * small // self.percent) // (100 + self.percent)
-                out.append((j, most + 1))
+                out.append((j, self.fragments(j)))
         return out
 
+    def fragments(self, j: int) -> int:
+        """More than the sets of a pair may differ in, by a fourth: that many segments at least are equal."""
+        small = self.starts[j] - 1
+        most = allowance(small, 100 * small // self.percent, self.percent)
+        return most + most // 4 + 1
+
+    def least(self, a: int, b: int) -> int:
+        """Segments that linked sets of a and b shingles have equal at least."""
+        self.of(min(a, b))
+        j = int(np.searchsorted(self.starts, min(a, b), "right"))
+        return self.fragments(j) - int(allowance(a, b, self.percent))
+
     def keys(self, h: np.ndarray) -> np.ndarray:
         """A 64-bit key for each fragment of each scheme: equal segments have equal keys."""
         u, total = common.U, np.zeros(len(h) + 1, common.U)
@@ -66,7 +76,7 @@ class Schemes:
         for j, parts in self.of(len(h)):
             at = np.searchsorted(((h >> u(32)) * u(parts)) >> u(32), np.arange(parts, dtype=common.U), "right")
             sums = np.diff(total[np.concatenate([[0], at])])
-            out.append(common.mix64(sums + np.arange(parts, dtype=common.U) * u(0x9E3779B97F4A7C15) + u(j) * u(0xD1B54A32D192ED03)))
+            out.append(common.mix64(sums + np.arange(parts, dtype=common.U) * u(0x9E3779B97F4A7C15) + u(j * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)))
         return np.concatenate(out)
 
 
@@ -75,21 +85,25 @@ def allowance(a, b, percent: int):
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def sketch(h: np.ndarray, percent: int) -> np.ndarray:
-    """A byte for each of many even parts of the hash order, about four a shingle that may differ.
+def sketch(h: np.ndarray, percent: int) -> bytes:
+    """Four bits for each of many even parts of the hash order, about two parts a shingle that may differ.
 
-    Sets that differ in d shingles differ in d bytes at most. Adding neighbouring bytes halves a sketch.
+    Sets that differ in d shingles differ in d parts at most. Adding neighbouring parts halves a sketch.
     """
-    parts = 1 << max(4, int(4 * allowance(len(h), len(h), percent)).bit_length())
+    parts = 1 << max(4, int(2 * allowance(len(h), len(h), percent)).bit_length())
     u, total = common.U, np.zeros(len(h) + 1, common.U)
     np.cumsum(common.mix64(h ^ common.U(0xAAAAAAAAAAAAAAAA)), out=total[1:])
     at = np.searchsorted(h >> u(64 - parts.bit_length() + 1), np.arange(parts, dtype=u), "right")
-    return (np.diff(total[np.concatenate([[0], at])]) & u(255)).astype(np.uint8)
+    x = (np.diff(total[np.concatenate([[0], at])]) & u(15)).astype(np.uint8)
+    return (x[::2] | x[1::2] << 4).tobytes()
 
 
-def halved(x: np.ndarray, parts: int) -> np.ndarray:
-    while x.shape[-1] > parts:
-        x = x[..., ::2] + x[..., 1::2]
+def opened(packed: bytes, parts: int) -> np.ndarray:
+    """A sketch's numbers, halved to parts of them."""
+    x = np.frombuffer(packed, np.uint8)
+    x = np.stack([x & 15, x >> 4], 1).ravel()
+    while len(x) > parts:
+        x = (x[::2] + x[1::2]) & 15
     return x
 
 
@@ -101,33 +115,31 @@ def _sets(column, k: int):
 
 
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, m0..m7, keys, sketch) of every document: size, set hash of 128 bits, minhashes, segment keys."""
-    names = ["doc_id", "n", "s1", "s2", *[f"m{i}" for i in range(len(SALTS))], "keys", "sketch"]
+    """(doc_id, n, s1, s2, m0..m7, sketch) of every document: size, set hash of 128 bits, minhashes."""
+    names = ["doc_id", "n", "s1", "s2", *[f"m{i}" for i in range(len(SALTS))], "sketch"]
 
     def work(batches):
         import pyarrow as pa
 
-        schemes, u = Schemes(percent), common.U
+        u = common.U
         for batch in batches:
-            n, s, m, keys, marks = [], [], [], [], []
+            n, s, m, marks = [], [], [], []
             for h in _sets(batch.column(1), k):
                 n.append(len(h))
                 if len(h):
                     x = common.mix64(h)
                     s.append((x.sum(dtype=u), common.mix64(x ^ u(0x5555555555555555)).sum(dtype=u)))
                     m.append((SALTS[:, None] * h[None, :] if len(h) < 200_000 else np.stack([(a * h).min(keepdims=True) for a in SALTS])).min(axis=1))
-                    keys.append(schemes.keys(h).tobytes())
-                    marks.append(sketch(h, percent).tobytes())
+                    marks.append(sketch(h, percent))
                 else:
                     s.append((0, 0))
                     m.append(np.zeros(len(SALTS), u))
-                    keys.append(b"")
                     marks.append(b"")
             s, m = np.array(s, u).reshape(-1, 2).view(np.int64), np.array(m, u).reshape(-1, len(SALTS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in (*s.T, *m.T)], pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in (*s.T, *m.T)], pa.array(marks, pa.binary())], names=names)
 
-    longs = ", ".join(f"{c} long" for c in names[1:-2])
-    return common.arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, {longs}, keys binary, sketch binary")
+    longs = ", ".join(f"{c} long" for c in names[1:-1])
+    return common.arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, {longs}, sketch binary")
 
 
 def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -140,8 +152,8 @@ def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             keep = []
             for a, b, most in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), allowance(n, 0, percent)):
-                parts = min(len(a), len(b))
-                keep.append(int((halved(np.frombuffer(a, np.uint8), parts) != halved(np.frombuffer(b, np.uint8), parts)).sum()) <= most)
+                parts = 2 * min(len(a), len(b))
+                keep.append(int((opened(a, parts) != opened(b, parts)).sum()) <= most)
             import pyarrow as pa
 
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -210,12 +222,24 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return total.where(100 * F.col("common") >= percent * (F.col("n_x") + F.col("n_y") - F.col("common"))).select("x", "y")
 
 
-def _candidates(prints: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of nodes of different components with an equal segment. prints: (doc_id, n, keys, component, sketch).
+def _keyed(batch, k: int, schemes: Schemes):
+    """Ids, sizes, components, all segment keys and the row of each, for a batch of (doc_id, text, component)."""
+    n, keys = [], []
+    for h in _sets(batch.column(1), k):
+        n.append(len(h))
+        keys.append(schemes.keys(h) if len(h) else np.zeros(0, common.U))
+    row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+    ids, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+    return ids, np.array(n, np.int64), comp, np.concatenate(keys) if keys else np.zeros(0, common.U), row
+
+
+def _candidates(prints: DataFrame, marks: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of nodes of different components with enough equal segments. prints: (doc_id, text, component), marks: sketches.
 
     Segment keys go to their partition in packed blocks. In a block, a key that a component holds more than once goes
     once, marked; where such a key turns out to be shared between components, a second look takes all its holders.
-    Of the holders of a key, pairs whose sketches differ too much can't be linked and are left out.
+    Pairs of the holders of a key of few are counted: linked sets share a fifth of their segments or more. Of the holders of
+    a key of many, pairs whose sketches differ too much can't be linked and are left out.
     """
     spark = prints.sparkSession
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -224,12 +248,9 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
 
-        u = common.U
+        u, schemes = common.U, Schemes(percent)
         for batch in batches:
-            doc, n, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
-            blobs = batch.column(2).to_pylist()
-            key = np.frombuffer(b"".join(blobs), u)
-            row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+            doc, n, comp, key, row = _keyed(batch, k, schemes)
             if not len(key):
                 continue
             order = np.lexsort((comp[row], key))
@@ -250,7 +271,8 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["p", "k", "d", "c", "n", "m"])
 
     def find(rows):
-        """Blocks of (kind, key, doc, n, component) from the rows of one p: members of shared keys (0), marked keys (1)."""
+        """Blocks of five columns from the rows of one p: (0, key, doc, n, component) members of keys of many holders, (1, key)
+        marked keys, (2, a, b, n_a, n_b) pairs of the holders of keys of few."""
         six = np.concatenate([np.frombuffer(r[0], np.uint8).reshape(-1, 6) for r in rows])
         key = np.zeros((len(six), 8), np.uint8)
         key[:, :6] = six
@@ -265,8 +287,17 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
         size = np.diff(np.append(first, len(key)))
         shared = comp[first] != comp[first + size - 1]
         marked = np.maximum.reduceat(more, first) > 0
-        pick = np.repeat(shared & ~marked, size)
+        pick = np.repeat(shared & ~marked & (size > FEW), size)
         yield np.zeros(int(pick.sum()), int), key[pick], doc[pick], n[pick], comp[pick]
+        for step in range(1, FEW):
+            # each holder with the one `step` places on, where both are of one key
+            x = np.flatnonzero(np.repeat(shared & ~marked & (size <= FEW) & (size > step), size)[: len(key) - step])
+            x = x[(key[x] == key[x + step]) & (comp[x] != comp[x + step])]
+            x = x[100 * np.minimum(n[x], n[x + step]) >= percent * np.maximum(n[x], n[x + step])]
+            if len(x):
+                swap = doc[x] > doc[x + step]
+                p, q = np.where(swap, x + step, x), np.where(swap, x, x + step)
+                yield np.full(len(x), 2), doc[p], doc[q], n[p], n[q]
         held = key[first[shared & marked]]
         none = np.zeros(len(held), int)
         yield none + 1, held, none, none, none
@@ -291,10 +322,22 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
             if len(kind):
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in rest]], names=["kind", "key", "doc", "n", "comp"])
 
-    packed = common.arrow_map(prints.select("doc_id", "n", "keys", "component"), pack, "p int, k binary, d binary, c binary, n binary, m binary")
+    packed = common.arrow_map(prints.select("doc_id", "text", "component"), pack, "p int, k binary, d binary, c binary, n binary, m binary")
     packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p").sortWithinPartitions("p")
     found = common.cut(common.arrow_map(packed, match, "kind int, key long, doc long, n long, comp long"), "members")
     members = found.where("kind = 0").select("key", "doc", "n", "comp")
+    counted = found.where("kind = 2").groupBy(F.col("key").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_a"), F.col("comp").alias("n_b")).agg(F.count("*").alias("c"))
+
+    def enough(batches):
+        import pyarrow as pa
+
+        schemes = Schemes(percent)
+        for batch in batches:
+            a, b, c = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [z >= schemes.least(x, y) for x, y, z in zip(a, b, c)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    few = common.arrow_map(counted, enough, "a long, b long")
     marked = common.cut(found.where("kind = 1").select("key").distinct(), "marked")
     passes = -(-marked.count() // KEYS)
     for i in range(passes):  # one pass, unless there are more than KEYS marked keys
@@ -303,19 +346,17 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
         def look(batches, wanted=None):
             import pyarrow as pa
 
-            sought = shared.value
+            sought, schemes = shared.value, Schemes(percent)
             for batch in batches:
-                doc, n, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
-                blobs = batch.column(2).to_pylist()
-                key = (np.frombuffer(b"".join(blobs), np.uint64) & low).astype(np.int64)
-                row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+                doc, n, comp, key, row = _keyed(batch, k, schemes)
+                key = (key & low).astype(np.int64)
                 hit = np.isin(key, sought)
                 r = row[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[hit], doc[r], n[r], comp[r])], names=["key", "doc", "n", "comp"])
 
         # KEYS numbers at most (twice that if the hash is uneven)
         shared = spark.sparkContext.broadcast(np.sort(ask.toPandas()["key"].to_numpy(np.int64)))
-        members = members.unionByName(common.cut(common.arrow_map(prints.select("doc_id", "n", "keys", "component"), look, "key long, doc long, n long, comp long"), "holders"))
+        members = members.unionByName(common.cut(common.arrow_map(prints.select("doc_id", "text", "component"), look, "key long, doc long, n long, comp long"), "holders"))
     members = common.cut(members.distinct(), "members")
     # keys of very many holders are compared in blocks, so that a piece of work is bounded
     size = members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOLDERS)
@@ -323,7 +364,7 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
     spot = F.pmod(F.xxhash64("doc"), F.coalesce("b", F.lit(1))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.coalesce("b", F.lit(1)) - 1), lambda i: F.struct(F.least(i, spot).alias("i"), F.greatest(i, spot).alias("j"), spot.alias("own")))
     work = members.join(large, "key", "left").select("key", "doc", "n", "comp", F.explode(parts).alias("t")).select("key", "t.i", "t.j", "t.own", "doc", "n", "comp")
-    work = work.join(prints.select(F.col("doc_id").alias("doc"), "sketch"), "doc").select("key", "i", "j", "own", "doc", "n", "comp", "sketch")
+    work = work.join(marks.select(F.col("doc_id").alias("doc"), "sketch"), "doc").select("key", "i", "j", "own", "doc", "n", "comp", "sketch")
 
     def compare(batches):
         import pyarrow as pa
@@ -344,8 +385,8 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
             if len(rows) < 2:
                 continue
             own, doc, n, comp = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
-            width = min(len(r[4]) for r in rows)
-            mark = np.stack([halved(np.frombuffer(r[4], np.uint8), width) for r in rows])
+            width = 2 * min(len(r[4]) for r in rows)
+            mark = np.stack([opened(r[4], width) for r in rows])
             for q in range(len(rows) - 1):
                 other = np.arange(q + 1, len(rows))
                 m = n[other]
@@ -358,7 +399,7 @@ def _candidates(prints: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[q], doc[other])), pa.array(np.maximum(doc[q], doc[other]))], names=["a", "b"])
 
     work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return common.arrow_map(work, compare, "a long, b long").distinct()
+    return common.arrow_map(work, compare, "a long, b long").unionByName(few).distinct()
 
 
 def _orient(pairs: DataFrame) -> DataFrame:
@@ -389,9 +430,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     first = common.components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "first")
     grouped = common.broadcast_if_small(first.where("node <> component"))
     only = common.broadcast_if_small(copies.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct())
-    rest = prints.where("n > 0").select(F.col("doc_id").alias("node"), "n", "keys", "sketch").join(only, "node", "left_anti").join(grouped, "node", "left")
-    rest = rest.select(F.col("node").alias("doc_id"), "n", "keys", F.coalesce("component", "node").alias("component"), "sketch")
-    pairs = common.cut(_candidates(rest, percent), "candidates")
+    rest = docs.withColumnRenamed("doc_id", "node").join(only, "node", "left_anti").join(grouped, "node", "left")
+    rest = rest.select(F.col("node").alias("doc_id"), "text", F.coalesce("component", "node").alias("component"))
+    pairs = common.cut(_candidates(rest, marks, k, percent), "candidates")
     if pairs.limit(1).count():
         more = common.cut(verified(docs, common.cut(_orient(pairs), "oriented"), k, percent), "links")
         first = common.components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")), "all")
