@@ -107,6 +107,18 @@ def test_sharding(spark, docs, texts, empty):
     assert {r["n"] for r in op3.shard(same, "doc_id", "text", 4).groupBy("shard").agg(F.count("*").alias("n")).collect()} == {2500}
 
 
+def test_sharding_moves_little(spark):
+    keys = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    before, after = ({r["doc_id"]: r["shard"] for r in op3.shard(keys, "doc_id", "text", n).collect()} for n in (40, 41))
+    moved = sum(before[i] != after[i] for i in range(40_000)) / 40_000
+    assert len(before) == len(after) == 40_000 and moved < 0.06, moved
+    positions, _ = op3._ring(7, 3)
+    ranges = op3.arc_ranges(positions)
+    for pos in [-(2**63), 2**63 - 1, *positions, *[p + 1 for p in positions], *[random.Random(p).randrange(-(2**63), 2**63) for p in positions]]:
+        hits = [x["arc"] for x in ranges if (x["after"] is None or pos > x["after"]) and pos <= x["upto"] and x["cell"] == pos >> (64 - op3.CELL_BITS)]
+        assert hits == [next((i for i, p in enumerate(positions) if p >= pos), 0)]
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
