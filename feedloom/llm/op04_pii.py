@@ -13,8 +13,11 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern needs so many different seed instances and this score; an instance this score to be extracted.
 SUPPORT, PATTERN, INSTANCE = 5, 0.8, 0.8
-#: Digits that make a token outside the seeds a candidate.
+#: Digits that make a token or groups of digits outside the seeds a candidate: fewer than any card or phone has. E-mail-like
+#: and address-like forms need none but their own.
 DIGITS = 7
+#: Groups of more digits than any kind has are no single identifier.
+MOST_DIGITS = 19
 
 # Each expression matches what its plain form matches. A run that fails is left as a whole, so time grows with the text.
 _EMAIL_LATER = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -27,6 +30,13 @@ _REST = re.compile(r"[A-Za-z0-9@.+()_:-]*+")
 _SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+()_:-")
 #: Length of the longest candidate.
 LONG = 128
+_AT = re.compile(r" ?(?:@|[(\[{] ?[Aa][Tt] ?[)\]}]) ?| at (?=[^\s@]{1,64}(?:\.[A-Za-z]| dot |[(\[{]dot))")
+_LOCAL = re.compile(r"[^\s@<>()\[\]{},;:\"'|/]{1,64}\Z")
+_DOMAIN = re.compile(r"[^\s@<>()\[\]{},;:\"'|/]{1,64}(?:(?: dot | ?[(\[{]dot[)\]}] ?)[^\s@<>()\[\]{},;:\"'|/]{1,64}){0,4}")
+_QUAD = re.compile(r"(?<![A-Za-z0-9@_.-])[0-9]++(?:\.[0-9]++)++(?![A-Za-z0-9@_-])")
+_GROUPS = re.compile(r"(?<![A-Za-z0-9@._:-])(?:\+ ?)?\(?[0-9]++(?:(?:[ .-]|\)[ -]?|[ -]?\()[0-9]++)++")
+_PLAIN_GROUPS = re.compile(r"[0-9+() .-]*")
+_PLAIN_QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 
 
 def _emails(text: str):
@@ -81,6 +91,15 @@ def _shape(value: str) -> str:
     return "".join(out)[:64]
 
 
+def _general(value: str) -> str:
+    """The shape's class, whatever the lengths and signs between: `@` word at word, `#.#.#.#` or `#` digit groups; else empty."""
+    if _PLAIN_QUAD.fullmatch(value):
+        return "#.#.#.#"
+    if _PLAIN_GROUPS.fullmatch(value):
+        return "#"
+    return "@" if _AT.search(value) else ""
+
+
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
     """The words beside a span, lower-cased, at most 32 letters of each; empty at a line's end."""
     left = text[max(0, a - 48) : a].rsplit("\n", 1)[-1].split()
@@ -102,11 +121,57 @@ def _tokens(text: str):
         yield a, end
 
 
+def _candidates(text: str):
+    """Spans that may be unseen instances, by start, none over another: word at word, four dotted numbers, groups, tokens."""
+    found: list[tuple[int, int]] = []
+    last = 0
+    for m in _AT.finditer(text):
+        low = max(last, m.start() - 64)
+        a = _LOCAL.search(text[low : m.start()])
+        b = _DOMAIN.match(text, m.end())
+        if a and b:
+            start, end = low + a.start(), b.end()
+            while end > m.end() and text[end - 1] in ".!?-_*":
+                end -= 1
+            while start < m.start() and text[start] in ".-_*":
+                start += 1
+            if start < m.start() and end > m.end():
+                found.append((start, end))
+                last = end
+    if _IP_HINT.search(text):
+        quads = [m.span() for m in _QUAD.finditer(text) if m.group().count(".") == 3]
+        groups = []
+        for m in _GROUPS.finditer(text):
+            after = text[m.end() : m.end() + 1]
+            if DIGITS <= sum(c.isdigit() for c in m.group()) <= MOST_DIGITS and not (after.isalnum() or after in ("@", "_")):
+                groups.append(m.span())
+        tokens = []
+        for a, b in _tokens(text):
+            while b > a and text[b - 1] in ".:-_(":
+                b -= 1
+            while a < b and text[a] in ".:-_)":
+                a += 1
+            if sum(c.isdigit() for c in text[a:b]) >= DIGITS:
+                tokens.append((a, b))
+        for more in (quads, groups, tokens):
+            found = _beside(found, more)
+    return [x for x in found if x[1] - x[0] <= LONG]
+
+
+def _beside(first: list, more: list) -> list:
+    """first and those of more that overlap none of them, by start; neither list overlaps itself."""
+    out, i = [], 0
+    for a, b in more:
+        while i < len(first) and first[i][1] <= a:
+            i += 1
+        if i >= len(first) or first[i][0] >= b:
+            out.append((a, b))
+    return sorted(first + out)
+
+
 def found_in(text: str) -> tuple[list, list]:
     """Base spans (start, kind, end) and mentions (kind or -1, start, end, value, patterns) of one text."""
     spans = base_spans(text)
-    if not spans and not _IP_HINT.search(text):
-        return spans, []
     mentions = []
     taken, last = [], 0
     for a, _, b in spans:
@@ -115,19 +180,15 @@ def found_in(text: str) -> tuple[list, list]:
     def tell(kind, a, b):
         left, right = _context(text, a, b)
         value = text[a:b].lower()[:128]
-        shape = _shape(text[a:b])
-        mentions.append((kind, a, b, value, [f"L {left} {shape}", f"R {right} {shape}"]))
+        shape, general = _shape(text[a:b]), _general(text[a:b])
+        patterns = [f"L {left} {shape}", f"R {right} {shape}"]
+        patterns += [f"{side} {word} ~{general}" for side, word in (("L", left), ("R", right)) if general and word]
+        mentions.append((kind, a, b, value, patterns))
 
     for a, kind, b in spans:
         tell(kind, a, b)
     i = 0
-    for a, b in _tokens(text):
-        while b > a and text[b - 1] in ".:-_(":
-            b -= 1
-        while a < b and text[a] in ".:-_)":
-            a += 1
-        if b - a > LONG or sum(c.isdigit() for c in text[a:b]) < DIGITS:
-            continue
+    for a, b in _candidates(text):
         while i < len(taken) and max(taken[i][1], last) <= a:
             last = max(last, taken[i][1])
             i += 1
@@ -140,7 +201,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     """(doc_id, base, added) of every row: arrays of (start, kind, end) in code points, end exclusive.
 
     kind is a position in KINDS. base holds the spans of the plain expressions, the seeds. Each mention of a seed
-    or of a number-like token is an instance with two patterns: the word before it or after it, each with its shape.
+    or of a candidate is an instance with up to four patterns: the word before it or after it, each with its shape, and with
+    its shape's class (word at word, dotted numbers, digit groups) where there is such a word.
     In rounds, a pattern's score for a kind is the smoothed mean score of its different instances, and an instance's the
     best of its patterns'. Unseen instances that trusted patterns score highly are added where they stand;
     they never overlap a base span. Null and empty texts have no spans; repeated rows repeat, but a value counts once for

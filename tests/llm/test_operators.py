@@ -156,6 +156,26 @@ def test_pii_finds_unseen(spark, docs, empty):
     assert op4.extract(docs).count() == docs.count() and op4.extract(empty).count() == 0
 
 
+def test_pii_finds_unseen_of_every_shape(spark):
+    r = random.Random(11)
+    seeds = {
+        "mail": [f"{a}.{b}@firma.de" for a, b in zip(WORDS[:10], WORDS[5:])], "host": [f"10.{i}.0.{i + 3}" for i in range(10)],
+        "card": [c for c in (f"41{i:014d}" for i in range(100, 300)) if op4._luhn(c)][:10], "call": [f"+49 {170 + i} 55{i}1 234" for i in range(10)],
+    }
+    rows = [(f"{prose(i, 3)} {word} {value} {prose(i + 50, 3)}",) for word, values in seeds.items() for i, value in enumerate(values)]
+    unseen = [("mail", "paul@firma", 0), ("mail", "paul (at) firma.de", 0), ("host", "1.2.3.400", 1), ("card", "4111 1111 1111 1112", 2), ("call", "0171 555 1234", 3), ("call", "(0171) 555-1234", 3)]
+    rows += [(f"{prose(i + 90, 3)} {word} {value} {prose(i + 200, 3)}",) for i, (word, value, _) in enumerate(unseen)]
+    rows += [(f"{prose(i + 300, 3)} nr {value} {prose(i + 400, 3)}",) for i, value in enumerate(("0171 555 1234", "4111 1111 1111 1112"))]
+    r.shuffle(rows)
+    got = op4.extract(spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")).collect()
+    text = {i: t for i, (t,) in enumerate(rows)}
+    added = sorted((text[x["doc_id"]][s["start"] : s["end"]], s["kind"]) for x in got for s in x["added"] if " nr " not in text[x["doc_id"]])
+    assert added == sorted((value, kind) for _, value, kind in unseen)
+    for n in (20_000, 40_000):  # time in proportion to the text
+        for piece in ("1 ", "1.", "a@", "a at ", "(", "1-", "x" + " at "):
+            op4.found_in(piece * n + "x")
+
+
 def test_bpe(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
