@@ -11,8 +11,8 @@ from . import common
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Path segments below this level are one tail wildcard.
 DEPTH = 6
-#: A branch stays apart from its siblings only with so many rows, so large a share of its node and so large a z score.
-SUPPORT, SHARE, Z = 10, 0.02, 2.58
+#: A branch stays apart from its siblings only with so many rows and so large a z score.
+SUPPORT, Z = 10, 2.58
 #: Weight of the parent's rate in a child's, in labelled rows; the rate at which a template is rejected.
 SMOOTH, REJECT = 4.0, 0.5
 
@@ -42,7 +42,8 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     Level by level, each node's children are counted. A child keeps its name if it is frequent and its labelled
     rate of bad rows differs from its siblings' (two-proportion z test); all other children are statistically
     alike or variable, and are merged into the wildcard. Counting pre-aggregates, so a host may hold any share of
-    the rows; at most 1 / SHARE children of a node keep their names.
+    the rows; its size plays no part, so growth of its siblings alone merges no child. At most rows / SUPPORT children of a
+    level keep their names, and where those are many the join with them shuffles.
     """
     rows = rows.withColumn("template", F.lit(""))
     for level in range(depth):
@@ -56,7 +57,7 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         gap = F.abs(F.col("bad") / F.greatest("known", F.lit(1)) - rest_bad / F.greatest(rest_known, F.lit(1)))
         apart = (
             child.join(node, ["host", "template"])
-            .where((F.col("n") >= SHARE * F.col("all_n")) & (F.col("known") > 0) & (rest_known > 0) & (gap > Z * spread))
+            .where((F.col("known") > 0) & (rest_known > 0) & (gap > Z * spread))
             .select("host", "template", F.col("segment").alias("kept"))
         )
         apart = common.broadcast_if_small(common.cut(apart, "branches"))

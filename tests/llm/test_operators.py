@@ -77,6 +77,16 @@ def test_rules_and_templates(spark):
     assert {(r["template"], r["verdict"]) for r in judged} == {("/bad/*", "block"), ("/good/*", "allow")} or {r["verdict"] for r in judged if "/bad/" in r["path"]} == {"block"}
 
 
+def test_small_section_of_large_host(spark):
+    part = "CASE WHEN id % 100 = 7 THEN 'spam' ELSE concat('part', id % 90) END"  # 1 % of `large` is bad; over 50 sections
+    large = spark.range(8_000).select(F.expr(f"concat('http://large.org/', {part}, '/', id)").alias("url"), F.expr("cast(id % 100 = 7 OR id % 25 = 3 AS int)").alias("y"))
+    small = spark.range(160).select(F.expr("concat('http://small.org/', CASE WHEN id % 2 = 0 THEN 'spam' ELSE 'part' END, '/', id)").alias("url"), F.expr("cast(id % 2 = 0 AS int)").alias("y"))
+    pages = common.cut(large.unionByName(small).withColumn("page_id", F.monotonically_increasing_id()), "pages").withColumn("label_id", F.col("page_id"))
+    got = op1.judge(pages.drop("y"), pages.select("label_id", "y"), [])
+    by = {(r["host"], r["bad"]): (r["verdicts"], r["n"]) for r in got.groupBy("host", F.expr("path LIKE '/spam/%'").alias("bad")).agg(F.collect_set("verdict").alias("verdicts"), F.count("*").alias("n")).collect()}
+    assert by == {("large.org", True): (["block"], 80), ("large.org", False): (["allow"], 7920), ("small.org", True): (["block"], 80), ("small.org", False): (["allow"], 80)}
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(1000 + i, ("you idiot " if i % 3 == 0 else "") + prose(i, 25)) for i in range(300)]
     train = spark.createDataFrame(rows, "doc_id long, text string")
