@@ -11,7 +11,7 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: A pattern needs so many different seed instances and this score; an instance this score to be extracted.
+#: A pattern needs so many different seeds or instances accepted in an earlier round, and this score; an instance this score to be extracted.
 SUPPORT, PATTERN, INSTANCE = 5, 0.8, 0.8
 #: Digits that make a token or groups of digits outside the seeds a candidate: fewer than any card or phone has. E-mail-like
 #: and address-like forms need none but their own.
@@ -243,7 +243,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
         # a pattern of unseen instances alone tells nothing about them
         patterns = known.groupBy("pattern").agg(
             *[(F.sum(n) / (F.sum(F.when((F.col("kind") >= 0) | (F.col(n) > 0), 1.0).otherwise(0.5)) + 1)).alias(n) for n in names],
-            *[F.count(F.when(F.col("kind") == k, 1)).alias(f"c{k}") for k in range(len(KINDS))],
+            *[F.count(F.when(F.col(n) >= INSTANCE, 1)).alias(f"c{k}") for k, n in enumerate(names)],  # seeds, and instances accepted in an earlier round
         )
         for k, n in enumerate(names):
             patterns = patterns.withColumn(n, F.when((F.col(f"c{k}") >= SUPPORT) & (F.col(n) >= PATTERN), F.col(n)).otherwise(0.0))

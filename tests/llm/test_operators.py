@@ -186,6 +186,14 @@ def test_pii_finds_unseen_of_every_shape(spark):
             op4.found_in(piece * n + "x")
 
 
+def test_pii_two_steps(spark):
+    cards = [c for c in (f"41{i:014d}" for i in range(100, 3000)) if op4._luhn(c)]
+    wrong = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards[100:121]]
+    rows = [f"card {c} paid" for c in cards[:100] + wrong[:20]] + [f"konto {c} euro" for c in wrong]
+    got = op4.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: [s["kind"] for s in x["added"]] for x in got if not x["base"]} == {i: [2] for i in range(100, 141)}
+
+
 def test_bpe(spark, docs, texts, empty):
     from tokenizers import Tokenizer
 
