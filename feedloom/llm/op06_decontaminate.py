@@ -40,16 +40,19 @@ class Index:
     """The q-grams of the benchmark's pieces.
 
     An occurrence of a piece of m bytes with e edits shares m + 1 - Q - Q * e q-grams with it, all within e
-    diagonals. Items under Q bytes are no evidence and are left out; a piece's edits are as many as leave one q-gram.
+    diagonals. A piece's edits are as many as leave one q-gram. Items under Q bytes have none: they are in `short`.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.first, self.length, self.edits = [], [], [], [], []
+        self.short: dict[bytes, list[int]] = {}
         base, seen = 0, []
         for item, text in items:
             raw, _ = normal(np.frombuffer((text or "").strip().encode(), np.uint8))
             m = len(raw)
             if m < Q:
+                if m:
+                    self.short.setdefault(raw.tobytes(), []).append(item)
                 continue
             starts = [0] if m <= PIECE else sorted({*range(0, m - PIECE, STEP), m - PIECE})
             for s in starts:
@@ -71,8 +74,6 @@ class Index:
         self.first, self.length, self.edits = (np.array(x, np.int64) for x in (self.first, self.length, self.edits))
         self.need = self.length + 1 - Q - Q * self.edits
         self.width = max(int(self.edits.max()), 1) if len(self.edits) else 1
-        # a match's hits lie in two coarse diagonals at most (the piece is part of the key)
-        self.coarse = max(1, -(-int(self.need.min()) // 2)) if len(self.edits) else 1
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.slot(self.code)] = True
 
@@ -107,10 +108,17 @@ class Index:
         entry = np.repeat(self.start[k], count) + np.arange(total) - skip
         piece = self.piece[entry]
         diagonal = np.repeat(pos, count) - self.at[entry] + self.first[piece]  # where the piece would start
-        key = (diagonal // (2 * self.width)).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        slot = ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)
-        slot = slot.astype(np.int64)
-        dense = np.bincount(slot, minlength=TABLE)[slot] >= self.coarse
+        # a match's hits lie in two neighbouring cells of 2 widths at most: with too few in both, none is in a dense band
+        cell = (diagonal // (2 * self.width)).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        slot = lambda x: ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)
+        own = slot(cell).astype(np.int64)
+        held, need = np.bincount(own, minlength=TABLE), self.need[piece]
+        near = held[own]
+        maybe = np.flatnonzero(2 * near >= need) if len(need) else np.zeros(0, np.int64)
+        # cells with under half of the bound stay beside one that has the rest
+        thin = np.flatnonzero(2 * near < need)
+        side = np.maximum(*(held[slot(cell[thin] + np.uint64(d)).astype(np.int64)] for d in (0xD1B54A32D192ED03, (1 << 64) - 0xD1B54A32D192ED03))) if len(thin) else thin
+        dense = np.sort(np.concatenate([maybe, thin[near[thin] + side >= need[thin]]]))
         piece, diagonal = piece[dense], diagonal[dense]
         if not len(piece):
             return []
@@ -162,58 +170,84 @@ def align(piece: bytes, text: bytes, low: int, high: int, most: int) -> tuple[in
     return int(cost[best]), int(begin[best]), int(end[best])
 
 
-def _search(index: Index, data: np.ndarray, offsets: np.ndarray):
-    """Yield (row, item, start byte, end byte, edits, bytes compared) for each piece found."""
-    i, n = 0, len(offsets) - 1
-    over = 2 * PIECE + 2
+def _texts(data: np.ndarray, offsets: np.ndarray):
+    """Yield (first row, normal text, raw place of each of its bytes, bounds of its rows, pieces found before).
+
+    A text of more than 2 * BLOCK bytes comes in blocks of normal text that overlap by 2 * PIECE, more than any match.
+    """
+    i, n, over = 0, len(offsets) - 1, 2 * PIECE
     while i < n:
         j = min(max(int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1, i + 1), n)
         lo, hi = int(offsets[i]), int(offsets[j])
-        for a in range(lo, max(hi, lo + 1), BLOCK) if hi - lo > 2 * BLOCK else (lo,):
-            b = min(a + BLOCK + 8 * over, hi) if hi - lo > 2 * BLOCK else hi
-            text, where = normal(data[a:b])
-            if len(text) < Q:
-                continue
-            raw = text.tobytes()
-            bounds = np.searchsorted(where, offsets[i : j + 1] - a)
-            done = set()
-            for piece, low in index.regions(text):
-                most = int(index.edits[piece])
-                # a band may touch two texts: each is tried by itself
-                r0 = max(int(np.searchsorted(bounds, max(low, 0), "right")) - 1, 0)
-                r1 = max(int(np.searchsorted(bounds, low + 2 * index.width + int(index.length[piece]), "right")) - 1, 0)
-                for r in range(r0, min(r1, j - i - 1) + 1):
-                    s, e = int(bounds[r]), int(bounds[r + 1])
-                    if e - s < Q or (r, piece) in done:
-                        continue
-                    left = max(s, low - PIECE)
-                    hit = align(index.text[piece], raw[left : min(e, low + 2 * index.width + 2 * PIECE)], low - left, low + 2 * index.width - left, most)
-                    if hit:
-                        done.add((r, piece))
-                        edits, x, y = hit
-                        x, y = max(x, 0) + left, y + left
-                        yield i + r, index.item[piece], int(where[x]) + a, int(where[y - 1]) + 1 + a, edits, int(index.length[piece])
+        if hi - lo <= 2 * BLOCK:
+            text, where = normal(data[lo:hi])
+            yield i, text, where + lo, np.searchsorted(where, offsets[i : j + 1] - lo), set()
+        else:
+            text, where, done = np.zeros(0, np.uint8), np.zeros(0, np.int64), set()
+            for a in range(lo, hi, BLOCK):
+                more, at = normal(data[a : min(a + BLOCK, hi)])
+                if len(more) and a > lo and common._SPACE[data[a]] and common._SPACE[data[a - 1]]:
+                    more, at = more[1:], at[1:]  # a run of white space goes on
+                text, where = np.concatenate([text[-over:], more]), np.concatenate([where[-over:], at + a])
+                yield i, text, where, np.array([0, len(text)]), done
         i = j
 
 
+def _search(index: Index, data: np.ndarray, offsets: np.ndarray):
+    """Yield (row, item, start byte, end byte, edits, bytes compared) for each piece found, and for each short item."""
+    for first, text, where, bounds, done in _texts(data, offsets):
+        if len(text) < Q:
+            continue
+        raw = text.tobytes()
+        for piece, low in index.regions(text):
+            most = int(index.edits[piece])
+            # a band may touch two texts: each is tried by itself
+            r0 = max(int(np.searchsorted(bounds, max(low, 0), "right")) - 1, 0)
+            r1 = max(int(np.searchsorted(bounds, low + 2 * index.width + int(index.length[piece]), "right")) - 1, 0)
+            for r in range(r0, min(r1, len(bounds) - 2) + 1):
+                s, e = int(bounds[r]), int(bounds[r + 1])
+                if e - s < Q or (r, piece) in done:
+                    continue
+                left = max(s, low - PIECE)
+                hit = align(index.text[piece], raw[left : min(e, low + 2 * index.width + 2 * PIECE)], low - left, low + 2 * index.width - left, most)
+                if hit:
+                    done.add((r, piece))
+                    edits, x, y = hit
+                    x, y = max(x, 0) + left, y + left
+                    yield first + r, index.item[piece], int(where[x]), int(where[y - 1]) + 1, edits, int(index.length[piece])
+    if index.short:
+        for r in range(len(offsets) - 1):
+            raw = data[offsets[r] : offsets[r + 1]].tobytes()
+            bare = raw.strip(common.SPACES.encode())
+            if bare and len(bare.translate(None, common.SPACES.encode())) < Q:
+                a = int(offsets[r]) + raw.index(bare)
+                for item in index.short.get(normal(np.frombuffer(bare, np.uint8))[0].tobytes(), ()):
+                    yield r, item, a, a + len(bare), 0, len(bare)
+
+
+def _passes(benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """Broadcast lists of (item, text), PASS_BYTES of text each, about."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
+    parts = [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p) if passes > 1 else items for p in range(passes)]
+    return [spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in part.collect())) for part in parts]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, matched) for each document and each benchmark item that it holds.
 
-    An item counts as held if a piece of it (PIECE bytes, or the whole of a shorter item) stands in the text with
-    RATE edits a byte at most, letters of A-Z in either case and white space collapsed. start and end are code
+    An item counts as held if a piece of it (PIECE bytes at every STEP, or the whole of a shorter item) stands in the text with
+    RATE edits a byte at most, letters of A-Z in either case and white space collapsed; an excerpt of PIECE + STEP bytes
+    holds a piece wherever it starts. An item of under Q bytes is held by a text that is nothing else. start and end are code
     points around all pieces found, matched the bytes of these pieces, edits their edits. Clean documents have no row.
-    Null and empty texts, and items of under Q bytes, match nothing; repeated rows repeat; empty tables give no rows.
+    Null and empty texts and items, and items without an id, match nothing; repeated rows repeat; empty tables give no rows.
     The benchmark's index is broadcast, PASS_BYTES of text at most: a larger benchmark takes several passes.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // PASS_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
-    for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in part.collect() if r["item"] is not None))
+    for shared in _passes(benchmark, item_col, item_text):
 
         def work(batches, shared=shared):
             import pyarrow as pa
@@ -240,5 +274,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item in the sense of find, each judged by its own text: ids play no part."""
+    place, names = docs.columns.index(text_col), docs.columns
+    for shared in _passes(benchmark, item_col, item_text):
+
+        def work(batches, shared=shared):
+            import pyarrow as pa
+
+            index = Index(shared.value)
+            for batch in batches:
+                data, offsets = common.text_buffers(batch.column(place))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in _search(index, data, offsets)]] = False
+                yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(keep))
+
+        docs = common.arrow_map(docs, work, docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
