@@ -26,17 +26,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their five-word shingles the one of the smallest id stays."""
-    groups = op07_jaccard_join.join(docs, k=5, percent=80)
-    out = common.cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(common.broadcast_if_small(out), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents linked by 0.8 of their five-word shingles the one of the smallest id stays.
+
+    Rows without an id come last and count by their texts; of repeated rows one stays; rows without words all stay.
+    """
+    return op07_jaccard_join.leaders(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a piece of a benchmark item go."""
-    held = op06_decontaminate.find(docs, common.read(spark, sf_dir, "benchmark"))
-    out = common.cut(held.select("doc_id").distinct(), "contaminated")
-    return docs.join(common.broadcast_if_small(out), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a piece of a benchmark item go, whatever their ids."""
+    return op06_decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
