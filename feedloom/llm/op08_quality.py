@@ -16,8 +16,9 @@ ROUNDS = 3
 #: A view teaches the other where its calibrated probability is this far from 0 or 1.
 CONFIDENT = 0.97
 RIDGE = 1.0
-#: Documents below this probability of good quality are rejected; below one half, as clean ones shall stay.
-REJECT = 0.3
+#: Documents below a probability of good quality are rejected. It is chosen between these bounds, so that of good labelled rows
+#: about this share at most falls below it when scored by models of the other rows.
+REJECT, LOSS, FOLDS = (0.3, 0.8), 0.005, 5
 
 MARKS = "!|%*#$&=<>{}[]_\\^~@+"
 SOURCES, LANGS = 32, 8
@@ -108,14 +109,48 @@ def sums(x, y, w):
 
 
 def calibrate(score, y) -> tuple[float, float]:
-    """Platt scaling with smoothed targets."""
+    """Platt scaling with smoothed targets; scores that separate the labels get a finite slope."""
     good, bad = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    x, v = np.stack([score, np.ones(len(score))], 1), np.array([1.0, 0.0])
+    scale = max(float(np.std(score)), 1e-9)
+    x, v = np.stack([score / scale, np.ones(len(score))], 1), np.array([1.0, 0.0])
     for _ in range(25):
         g, h = sums(x, t, v)
-        v = v - np.linalg.solve(h + 1e-6 * np.eye(2), g)
-    return float(v[0]), float(v[1])
+        step = np.linalg.solve(h + 0.01 * np.eye(2), g + 0.01 * v)
+        v = v - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+    return float(v[0]) / scale, float(v[1])
+
+
+def start(xs, y) -> list[np.ndarray]:
+    """The weights of each view fitted on labelled rows alone."""
+    ws = [np.zeros(x.shape[1]) for x in xs]
+    for _ in range(12):
+        ws = [newton(w, *sums(x, y, w)) for x, w in zip(xs, ws)]
+    return ws
+
+
+def log_odds(y) -> float:
+    return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+
+
+def combined(xs, ws, cal, prior: float) -> np.ndarray:
+    """The probability of good quality by both views: their calibrated log odds, the prior counted once."""
+    return sigmoid(sum(c * (x @ w) + d - prior for x, w, (c, d) in zip(xs, ws, cal)) + prior)
+
+
+def threshold(xs, y) -> float:
+    """REJECT's choice by cross-validation over the labelled rows."""
+    fold, good = np.arange(len(y)) % FOLDS, []
+    for f in range(FOLDS):
+        seen, rest = fold != f, (fold == f) & (y == 1)
+        if not 0 < y[seen].sum() < seen.sum():
+            continue
+        part = [x[seen] for x in xs]
+        ws = start(part, y[seen])
+        cal = [calibrate(x @ w, y[seen]) for x, w in zip(part, ws)]
+        good.append(combined([x[rest] for x in xs], ws, cal, log_odds(y[seen])))
+    good = np.concatenate(good) if good else np.zeros(0)
+    return float(np.clip(np.quantile(good, LOSS), *REJECT)) if len(good) else REJECT[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict | None:
@@ -123,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
 
     Labelled rows (at most `sample`) start both views. Then in each round every unlabelled document is scored by
     both; where one view is confident, its label teaches the other. These sums run over all documents in the
-    executors; the driver gets gradients and Hessians only, whose size is fixed.
+    executors; the driver gets gradients and Hessians only, whose size is fixed. A round after which a view tells the
+    labelled rows apart much worse than at the start is undone and ends the rounds.
     """
     picked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     picked = picked.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample)
@@ -146,11 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     if not 0 < y.sum() < len(y):
         return None
     xs = [np.stack([np.frombuffer(v, np.float32) for v in seen[c]]).astype(float) for c in "ab"]
-    ws = [np.zeros(CONTENT), np.zeros(META)]
-    for _ in range(12):
-        ws = [newton(w, *sums(x, y, w)) for x, w in zip(xs, ws)]
+    ws = start(xs, y)
     pool = table.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti").select("a", "b")
     scale = lambda: [calibrate(x @ w, y) for x, w in zip(xs, ws)]
+
+    def loss(w, x):
+        (c, d), z = calibrate(x @ w, y), x @ w
+        return float("inf") if c <= 0 else float(np.logaddexp(0, np.where(y == 1, -1, 1) * (c * z + d)).mean())
+
+    bound = [loss(w, x) + 0.1 for w, x in zip(ws, xs)]
+    sane = lambda new: all(loss(w, x) <= most for w, x, most in zip(new, xs, bound))
     for _ in range(rounds):
         model = (ws, scale())
 
@@ -164,9 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
                 p = [sigmoid(cal[i][0] * (x[i] @ w) + cal[i][1]) for i, w in enumerate((wa, wb))]
                 part = []
                 for i, w in enumerate((wa, wb)):
-                    sure = np.maximum(p[1 - i], 1 - p[1 - i]) >= CONFIDENT
-                    g, h = sums(x[i][sure], (p[1 - i][sure] >= 0.5).astype(float), w)
-                    part.append(np.concatenate([[sure.sum()], g, h.ravel()]))
+                    for label in (0.0, 1.0):
+                        sure = (p[1 - i] if label else 1 - p[1 - i]) >= CONFIDENT
+                        z = x[i][sure]
+                        part += [[sure.sum()], z.T @ (sigmoid(z @ w) - label), (z.T @ z).ravel() / 4]  # the Hessian's upper bound
                 part = np.concatenate(part)
                 total = part if total is None else total + part
             if total is not None:
@@ -177,26 +219,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
             break
         v, at, new = np.array([got[i] for i in range(len(got))]), 0, []
         for x, w in zip(xs, ws):
-            d = len(w)
-            n, g, h = v[at], v[at + 1 : at + 1 + d], v[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
-            at += 1 + d + d * d
-            weight = 0.5 * min(1.0, len(y) / n) if n else 0.0  # the taught never outweigh the labelled
-            g0, h0 = sums(x, y, w)
-            w = newton(w, g0 + weight * g, h0 + weight * h)
-            for _ in range(2):
+            d, old, g, h = len(w), w, 0.0, 0.0
+            for label in (0, 1):
+                n, here = v[at], float((y == label).sum())
+                weight = 0.5 * min(1.0, here / n) if n else 0.0  # the taught of a class never outweigh its labelled rows
+                g = g + weight * v[at + 1 : at + 1 + d]
+                h = h + weight * v[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                at += 1 + d + d * d
+            for _ in range(4):
                 g0, h0 = sums(x, y, w)
-                w = newton(w, g0 + weight * g, h0 + weight * h)
+                w = newton(w, g0 + g + h @ (w - old), h0 + h)  # the pool's loss by a quadratic that bounds it
             new.append(w)
+        if not sane(new):
+            break
         ws = new
-    prior = float(np.log(y.sum() / (len(y) - y.sum())))
-    return {"w": ws, "cal": scale(), "prior": prior}
+    return {"w": ws, "cal": scale(), "prior": log_odds(y), "reject": threshold(xs, y)}
 
 
 def classify(df: DataFrame, model: dict | None) -> DataFrame:
     """df with the columns _score (probability of good quality, by both views) and _keep.
 
-    Both views' calibrated log odds are added, the prior counted once. Without a model every row has score 0.5
-    and is kept. Null and empty texts are judged like any other; repeated rows repeat; an empty table gives no rows;
+    Both views' calibrated log odds are added, the prior counted once; the threshold is the model's. Without a model
+    every row has score 0.5 and is kept. Null and empty texts are judged like any other; repeated rows repeat; an empty table gives no rows;
     columns that df has besides are passed through.
     """
     if model is None:
@@ -217,9 +261,8 @@ def classify(df: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             a, b = views(batch, *where)
             # the figures are of single precision in training
-            log = sum(c * (x.astype(np.float32).astype(float) @ w) + d - m["prior"] for x, w, (c, d) in zip((a, b), m["w"], m["cal"])) + m["prior"]
-            p = sigmoid(log)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= REJECT)], names=[*names, "_score", "_keep"])
+            p = combined([x.astype(np.float32).astype(float) for x in (a, b)], m["w"], m["cal"], m["prior"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= m["reject"])], names=[*names, "_score", "_keep"])
 
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
