@@ -109,16 +109,16 @@ def sums(x, y, w):
 
 
 def calibrate(score, y) -> tuple[float, float]:
-    """Platt scaling with smoothed targets; scores that separate the labels get a finite slope."""
+    """Platt scaling with smoothed targets: (slope, offset). Scores that separate the labels get a finite slope, useless ones none."""
     good, bad = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    scale = max(float(np.std(score)), 1e-9)
-    x, v = np.stack([score / scale, np.ones(len(score))], 1), np.array([1.0, 0.0])
-    for _ in range(25):
-        g, h = sums(x, t, v)
-        step = np.linalg.solve(h + 0.01 * np.eye(2), g + 0.01 * v)
-        v = v - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
-    return float(v[0]) / scale, float(v[1])
+    middle, scale = float(np.mean(score)), max(float(np.std(score)), 1e-9)
+    x, v = np.stack([(score - middle) / scale, np.ones(len(score))], 1), np.array([1.0, 0.0])
+    bound = np.linalg.inv(x.T @ x / 4 + 0.01 * np.eye(2))  # of the Hessian: steps never overshoot
+    for _ in range(200):
+        v = v - bound @ (x.T @ (sigmoid(x @ v) - t) + 0.01 * v)
+    slope = max(float(v[0]), 0.0) / scale
+    return slope, float(v[1]) - slope * middle
 
 
 def start(xs, y) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
 
     def loss(w, x):
         (c, d), z = calibrate(x @ w, y), x @ w
-        return float("inf") if c <= 0 else float(np.logaddexp(0, np.where(y == 1, -1, 1) * (c * z + d)).mean())
+        return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (c * z + d)).mean())
 
     bound = [loss(w, x) + 0.1 for w, x in zip(ws, xs)]
     sane = lambda new: all(loss(w, x) <= most for w, x, most in zip(new, xs, bound))
