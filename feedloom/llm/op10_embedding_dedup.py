@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors that a cell aims at, pivots of all labels together at most, vectors of a side of one piece of work.
-CELL, PIVOTS, BLOCK = 2048, 4096, 1024
+CELL, PIVOTS, BLOCK = 8192, 4096, 4096
+#: Rows of a block's matrix that are worked on at once.
+STRIP = 512
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -62,18 +64,22 @@ def _compare(threshold: float):
         raw = group.column("v").combine_chunks().to_pylist()
         x = _unit(raw)
         left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        hit = (x[left] @ x[right].T >= threshold) & (node[left][:, None] != node[right][None, :])
+        strips = [slice(i, i + STRIP) for i in range(0, len(left), STRIP)]
+        hit = np.zeros((len(left), len(right)), bool)
+        for s in strips:
+            hit[s] = (x[left[s]] @ x[right].T >= threshold) & (node[left[s]][:, None] != node[right][None, :])
         rows, cols = hit.any(1), hit.any(0)
         left, right, hit = left[rows], right[cols], hit[np.ix_(rows, cols)]
         links = hit @ c[right]
         # components of the two-sided graph of nodes, by least label
         names, at = np.unique(np.concatenate([node[left], node[right]]), return_inverse=True)
-        i, j, label = at[: len(left)], at[len(left) :], np.arange(len(names))
-        big = len(names)
+        i, j, label = at[: len(left)], at[len(left) :], np.arange(len(names), dtype=np.int32)
+        big = np.int32(len(names))
         while len(names):
             new = label.copy()
-            np.minimum.at(new, i, np.where(hit, label[j][None, :], big).min(1))
-            np.minimum.at(new, j, np.where(hit, label[i][:, None], big).min(0))
+            for s in strips[: -(-len(left) // STRIP)]:
+                np.minimum.at(new, i[s], np.where(hit[s], label[j][None, :], big).min(1))
+                np.minimum.at(new, j, np.where(hit[s], label[i[s]][:, None], big).min(0))
             new = np.minimum(new, new[new])
             if (new == label).all():
                 break
@@ -93,8 +99,8 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_co
     Vectors link if their labels and lengths are equal and their cosine, in double precision, is threshold or more.
     n_links counts the other vectors linked with directly, component_id is the smallest id reachable, kept says that it is
     the row's own. Vectors that are null, zero, hold null or non-finite components or have no label or id link with
-    nothing; without an id the component is null and the row is kept. Repeated rows are vectors of their own (they link) that
-    share an id. An empty table gives no rows; other columns are ignored.
+    nothing; without an id the component is null and the row is kept. Repeated rows, and several vectors of one id, are
+    vectors of their own that share an id (equal ones link). An empty table gives no rows; other columns are ignored.
 
     Equal vectors are one node. Cells of more than BLOCK vectors are compared in blocks, so a piece of work has
     2 * BLOCK vectors at most, whatever the groups; only counts and spanning edges leave it.
@@ -117,7 +123,8 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_co
 
     good = common.arrow_map(rows.where("ok").select("vec_id", "label", "v", *prints), pack, "vec_id long, label int, h1 long, h2 long, dim int, v binary")
     good = common.cut(good, "vectors")
-    nodes = common.cut(good.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("c"), F.min("v").alias("v")), "nodes")
+    nodes = good.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("c"), F.min("v").alias("v"))
+    nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # one id may have several vectors
     member = good.select("vec_id", "label", "dim", "h1", "h2").join(nodes.select("label", "dim", "h1", "h2", "node", "c"), ["label", "dim", "h1", "h2"]).select("vec_id", "node", "c")
 
     total = nodes.count()
@@ -150,11 +157,10 @@ def dedup(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_co
 
     links = out.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     comp = common.components(out.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), "vectors")
-    linked = (
-        member.join(links, "node", "left")
-        .join(comp.where("node <> component"), "node", "left")
-        .select("vec_id", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    named = common.cut(nodes.select("node", "low").join(common.broadcast_if_small(comp), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    least = common.cut(named.groupBy("component").agg(F.min("low").alias("component_id")), "least")
+    named = common.cut(named.join(common.broadcast_if_small(least), "component").join(links, "node", "left").select("node", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "named")
+    linked = member.join(common.broadcast_if_small(named), "node").select("vec_id", (F.col("c") - 1 + F.col("links")).alias("n_links"), "component_id")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
