@@ -47,19 +47,19 @@ _ALL = "(?i)^(?:" + "|".join(e for e, _ in SHAPES) + f")(?:{_TIME})?[\\s\\S]*$"
 NUMBERED = {"/4": 1, ".4": 2, "-4": 3, "Y-": 4, "Y/": 5, "Y.": 6, "/2": 7, ".2": 8, "-2": 9, "Y": 10, " 4": 11}
 NAMED = {5: "dmy", 6: "mdy", 7: "ymd", 8: "dm", 9: "md"}
 
-#: The first, second and any further form of a month's name.
+#: The first, second and any further form of a month's name; where a month has fewer, its last one.
 STYLES = ("full", "short", "other")
 
 
+def forms(month: str, style: str) -> list[str]:
+    names = month.split("|")
+    return names[2:] or names[-1:] if style == "other" else [names[min(STYLES.index(style), len(names) - 1)]]
+
+
 @lru_cache
-def month_names() -> dict[str, tuple[int, str, str]]:
-    """Name to (month, language, style); a name of several languages is the first one's."""
-    out: dict[str, tuple[int, str, str]] = {}
-    for lang, text in MONTHS.items():
-        for i, forms in enumerate(text.split(" "), 1):
-            for k, form in enumerate(forms.split("|")):
-                out.setdefault(form, (i, lang, STYLES[min(k, 2)]))
-    return out
+def named_months() -> list[tuple[str, int, str, str]]:
+    """All (name, month, language, style), by language and style: what both the catalogue and match() go by."""
+    return [(name, i, lang, style) for lang, text in MONTHS.items() for style in STYLES for i, month in enumerate(text.split(" "), 1) for name in forms(month, style)]
 
 
 @lru_cache
@@ -73,10 +73,9 @@ def catalogue() -> list[tuple[str, str, str, bool]]:
         day, year = r"\d{1,2}", rf"\d{{{mark[-1]}}}(?!\d)" if mark[-1].isdigit() else r"\d{4}"
         body = (r"\d{4}\d{2}\d{2}(?!\d)" if mark == "Y" else f"{year}{sep}{day}{sep}{day}(?!\\d)") if mark[0] == "Y" else f"{day}{sep}{day}{sep}{year}"
         out += [(f"dt:date:date_{number}{end}", f"^{body}{time}", "", False) for end, time in times]
-    for lang, text in MONTHS.items():
-        months = [m.split("|") for m in text.split(" ")]
-        for k, style in enumerate(STYLES):
-            names = "|".join(m[min(k, len(m) - 1)] for m in months)
+    for lang in MONTHS:
+        for style in STYLES:
+            names = "|".join(name for name, _, of, how in named_months() if (of, how) == (lang, style))
             for shape, name in NAMED.items():
                 expr, (year, _, _) = SHAPES[shape - 1]
                 expr = expr.replace(_WORD, f"({names})")
@@ -94,15 +93,21 @@ def _map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
-def _names(which: int) -> Column:
-    return _map({name: known[which] for name, known in month_names().items()}, "string" if which else "int")
+def _names() -> Column:
+    """Name to its (month, language, style), as an array: a name may be of several languages."""
+    out: dict[str, list[dict]] = {}
+    for name, month, lang, style in named_months():
+        out.setdefault(name, []).append({"m": month, "l": lang, "s": style})
+    return _map(out, "array<struct<m:int,l:string,s:string>>")
 
 
 def match(text: Column, as_of_year: int | None = None, keys: Column | list[str] | None = None) -> Column:
     """struct(key, text, dt) of the date that text (as date_text gives it) starts with, or null.
 
-    One expression takes the text apart; what it found is looked up in small constant maps. keys limits the patterns. A
-    date without a year is of as_of_year, or of the current year. Impossible dates, and bare times, don't match.
+    One expression takes the text apart; what it found is looked up in small constant maps. The text may fit several
+    patterns: a month's name may be of several languages, and a pattern without a time fits a text that goes on with one. With
+    keys, the first of these that is among them counts; without, the first: with its time, of the first language. A date
+    without a year is of as_of_year, or of the current year. Impossible dates, and bare times, don't match.
     """
     if isinstance(keys, list):
         keys = F.array(*[F.lit(k) for k in keys]).cast("array<string>")
@@ -120,21 +125,23 @@ def match(text: Column, as_of_year: int | None = None, keys: Column | list[str]
         return F.struct(year.alias("y"), F.lower(pick(1, F.lit(""))).alias("m"), number(pick(2, F.lit(""))).alias("d"), g.alias("g"))
 
     def found(x):
+        """An array of (key, text, dt), of the patterns with a time first."""
         part = lambda i: F.get(x["g"], F.lit(i - 1))
         has = lambda i: part(i) != ""
         clock = [F.coalesce(number(part(_GROUPS + i)), F.lit(0)) for i in (1, 2, 3)]
-        month = F.coalesce(number(x["m"]), F.try_element_at(_names(0), x["m"]))
-        moment = F.call_function("try_make_timestamp_ntz", x["y"], month, x["d"], *clock)
         mark = F.when(has(1), F.concat(part(2), F.length(part(4)).cast("string"))).when(has(5), F.concat(F.lit("Y"), part(6))).when(has(9), F.lit("Y")).when(has(12), F.lit(" 4"))
-        numbered = _map({k: f"date_{n}" for k, n in NUMBERED.items()}, "string")
+        numbered = F.try_element_at(_map({k: f"date_{n}" for k, n in NUMBERED.items()}, "string"), mark)
         shape = F.coalesce(*[F.when(has(SHAPES[s - 1][1][2]) & has(SHAPES[s - 1][1][1]), F.lit(name)) for s, name in NAMED.items()])
         lead = F.when(shape.isin("dmy", "mdy") & text.rlike("(?i)^\\p{L}+\\.?,?\\s+(?:\\p{L}+\\.?\\s+)?\\d{1,2}[^\\d]") & ~((shape == "mdy") & F.lower(text).startswith(x["m"])), "w").otherwise("")
-        named = F.concat(F.try_element_at(_names(1), x["m"]), F.lit("_"), lead, shape, F.lit("_"), F.try_element_at(_names(2), x["m"]))
-        key = F.concat(F.lit("dt:date:"), F.coalesce(F.try_element_at(numbered, mark), named), F.when(has(_GROUPS + 1), ":time").otherwise(""))
-        return F.struct(key.alias("key"), text.alias("text"), moment.alias("dt"))
+        as_name = lambda n: F.struct(F.concat(F.lit("dt:date:"), n["l"], F.lit("_"), lead, shape, F.lit("_"), n["s"]).alias("k"), n["m"].alias("m"))
+        names = F.when(numbered.isNotNull(), F.array(F.struct(F.concat(F.lit("dt:date:"), numbered).alias("k"), number(x["m"]).alias("m")))).otherwise(F.transform(F.try_element_at(_names(), x["m"]), as_name))
+        at = lambda n, hms, end: F.struct(F.concat(n["k"], F.lit(end)).alias("key"), text.alias("text"), F.call_function("try_make_timestamp_ntz", x["y"], n["m"], x["d"], *hms).alias("dt"))
+        day = F.transform(names, lambda n: at(n, [F.lit(0)] * 3, ""))
+        return F.when(has(_GROUPS + 1), F.concat(F.transform(names, lambda n: at(n, clock, ":time")), day)).otherwise(day)
 
     # array of one and transform: each step is computed once
-    split = F.when(text.rlike("[0-9]") & text.rlike(_ALL), F.array(F.split(F.regexp_replace(text, _ALL, groups), cut, -1)))
-    hits = F.transform(F.transform(split, told), found)
+    taken = F.when(text.rlike("[0-9]"), F.array(F.regexp_replace(text, _ALL, groups)))
+    split = F.transform(F.filter(taken, lambda t: t != text), lambda t: F.split(t, cut, -1))
+    hits = F.flatten(F.transform(F.transform(split, told), found))
     allowed = (lambda h: h["dt"].isNotNull() & F.coalesce(F.array_contains(keys, h["key"]), F.lit(True))) if keys is not None else (lambda h: h["dt"].isNotNull())
     return F.get(F.filter(hits, allowed), F.lit(0))

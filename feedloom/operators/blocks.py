@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 
+def histogram(diffs: DataFrame) -> DataFrame:
+    """(page_id, snode, diff, n, last_i): how often each difference of neighbouring positions occurs, and where last."""
+    return diffs.where("diff IS NOT NULL").groupBy("page_id", "snode", "diff").agg(F.count("*").alias("n"), F.max("i").alias("last_i"))
+
+
 def typical_width(diffs: DataFrame) -> DataFrame:
     """(page_id, snode, width): the distinct difference whose last occurrence comes first."""
-    last = diffs.where("diff IS NOT NULL").groupBy("page_id", "snode", "diff").agg(F.max("i").alias("last_i"))
-    return last.groupBy("page_id", "snode").agg(F.min_by("diff", "last_i").alias("width"))
+    return histogram(diffs).groupBy("page_id", "snode").agg(F.min_by("diff", "last_i").alias("width"))
 
 
 def blocks(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def blocks(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     tables = nodes.where("tag = 'table'").select("page_id", F.col("nid").alias("parent_nid"))
     inner = nodes.where("tag = 'tbody'").join(tables, ["page_id", "parent_nid"]).groupBy("page_id", F.col("parent_nid").alias("snode")).agg(F.min("nid").alias("tbody"))
     placed = clusters.join(inner, ["page_id", "snode"], "left").withColumn("root", F.coalesce("tbody", "snode"))
-    levels = nodes.select("page_id", F.col("nid").alias("root"), F.col("level").alias("root_level"))
+    levels = nodes.select("page_id", F.col("nid").alias("root"), F.col("level").alias("root_level"), F.col("children").alias("root_children"))
     placed = placed.join(levels, ["page_id", "root"])
     under = F.array_contains("anc", F.col("root"))
     placed = placed.withColumn("position", F.when(under, F.get("path", F.col("root_level"))).otherwise(F.get("path", F.lit(1)))).where("position IS NOT NULL")
@@ -35,21 +39,26 @@ def blocks(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     own = strip(F.coalesce("text", "tail"))
     entity = F.when(~last, own).when(F.coalesce(F.col("text") != "", F.lit(False)), strip(F.col("m.text"))).otherwise(own)
     out = diffs.join(width, ["page_id", "snode"], "left").select(
-        "page_id", "snode", "root", "cord", "i", "nid", "position", F.when(last, F.coalesce("width", F.lit(0))).otherwise(F.col("diff")).alias("shift"), entity.alias("entity"), last.alias("is_last")
+        "page_id", "snode", "root", "root_children", "cord", "i", "nid", "position", F.when(last, F.coalesce("width", F.lit(0))).otherwise(F.col("diff")).alias("shift"), entity.alias("entity"), last.alias("is_last")
     )
     return out.where("is_last OR entity IS NOT NULL")
 
 
 def spans(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks with lo and hi, the first and last node of their children's subtrees; blocks without children go."""
-    child = nodes.select("page_id", F.col("parent_nid").alias("root"), "child_idx", F.col("nid").alias("c_nid"), F.col("end_nid").alias("c_end"), F.col("start_pos").alias("c_start") if "start_pos" in nodes.columns else F.lit(None).cast("int").alias("c_start"), F.col("end_pos").alias("c_last") if "end_pos" in nodes.columns else F.lit(None).cast("int").alias("c_last"))
-    inside = (F.col("child_idx") >= F.col("position")) & (F.col("child_idx") < F.col("position") + F.col("shift"))
+    """blocks with lo and hi, the first and last node of their children's subtrees; blocks without children go.
+
+    The first and the last child are found by their indexes, so a block meets two rows, whatever its page's size.
+    """
+    has = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("int")
+    child = nodes.where("parent_nid IS NOT NULL").select("page_id", F.col("parent_nid").alias("root"), "child_idx", "nid", "end_nid", has("start_pos").alias("start"), has("end_pos").alias("stop"))
+    first = child.select("page_id", "root", F.col("child_idx").alias("position"), F.col("nid").alias("lo"), F.col("start").alias("lo_pos"))
+    end = child.select("page_id", "root", F.col("child_idx").alias("last"), F.col("end_nid").alias("hi"), F.col("stop").alias("hi_pos"))
     keys = ["page_id", "snode", "root", "cord", "i", "position", "shift", "entity"]
-    return blocks.join(child, ["page_id", "root"]).where(inside).groupBy(*keys).agg(F.min("c_nid").alias("lo"), F.max("c_end").alias("hi"), F.min("c_start").alias("lo_pos"), F.max("c_last").alias("hi_pos"))
+    placed = blocks.where("shift > 0").select(*keys, (F.least(F.col("position") + F.col("shift"), "root_children") - 1).alias("last"))
+    return placed.join(first, ["page_id", "root", "position"]).join(end, ["page_id", "root", "last"]).select(*keys, "lo", "hi", "lo_pos", "hi_pos")
 
 
 def annotations(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per node of each block, aid counting them from 0 in document order."""
-    joined = spans.join(nodes, "page_id").where((F.col("nid") >= F.col("lo")) & (F.col("nid") <= F.col("hi")))
-    w = Window.partitionBy("page_id", "snode", "cord", "i").orderBy("nid")
-    return joined.withColumn("aid", F.row_number().over(w) - 1)
+    """One row per node of each block, aid counting them from 0 in document order: a subtree's nodes are numbered in a row."""
+    each = spans.select("*", F.posexplode(F.sequence("lo", "hi")).alias("aid", "nid"))
+    return each.join(nodes, ["page_id", "nid"])

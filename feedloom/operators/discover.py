@@ -20,11 +20,10 @@ def _head(name: Column) -> Column:
 
 
 def autodiscovered(nodes: DataFrame) -> DataFrame:
-    rel, kind = F.lower(F.col("attrs")["rel"]), F.lower(F.try_element_at("attrs", F.lit("type")))
+    kind = F.lower(F.try_element_at("attrs", F.lit("type")))
     feedtype = F.when(kind == "application/atom+xml", "atom").when(kind == "application/rss+xml", "rss")
     found = nodes.where("tag = 'link'").where(F.lower(F.try_element_at("attrs", F.lit("rel"))) == "alternate")
     found = found.where(F.map_contains_key("attrs", "href") & (kind.isNull() | feedtype.isNotNull()))
-    del rel
     return found.select(
         "page_id", "nid", F.lit(0).alias("step"), F.col("attrs")["href"].alias("raw"), feedtype.alias("feedtype"), F.try_element_at("attrs", F.lit("title")).alias("title"), F.lit(1.0).alias("confidence"), F.lit("link").alias("method")
     )

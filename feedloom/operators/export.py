@@ -33,16 +33,25 @@ def _xml(c: Column) -> Column:
     return out
 
 
-def to_atom(feeds: DataFrame) -> DataFrame:
-    """(page_id, atom): one ATOM document per feed."""
+def to_atom(feeds: DataFrame, public_url: Column | None = None, logo: Column | None = None) -> DataFrame:
+    """(page_id, atom): one ATOM document per feed: id, title, language, updated (the latest item's date), links, logo, entries.
+
+    public_url is where the document itself will stand.
+    """
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     entry = lambda x: F.concat(
-        F.lit("<entry><id>"), _xml(x["unique_id"]), F.lit("</id><title>"), _xml(x["title"]), F.lit("</title><updated>"), F.date_format(x["pubdate"], "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        F.lit('</updated><link href="'), _xml(x["link"]), F.lit('"/><summary>'), _xml(x["description"]), F.lit("</summary></entry>"),
+        F.lit("<entry><id>"), _xml(x["unique_id"]), F.lit("</id><title>"), _xml(x["title"]), F.lit("</title><updated>"), stamp(x["pubdate"]), F.lit("</updated><published>"), stamp(x["pubdate"]),
+        F.lit('</published><link href="'), _xml(x["link"]), F.lit('"/><summary>'), _xml(x["description"]), F.lit("</summary></entry>"),
     )
+    items = F.coalesce("items", F.array().cast(feeds.schema["items"].dataType))
+    own = F.concat(F.lit('<link rel="self" href="'), _xml(public_url), F.lit('"/>')) if public_url is not None else F.lit("")
+    picture = F.when(logo.isNotNull(), F.concat(F.lit("<logo>"), _xml(logo), F.lit("</logo>"))).otherwise("") if logo is not None else F.lit("")
+    latest = F.array_max(F.transform(items, lambda x: x["pubdate"]))
+    updated = F.when(latest.isNotNull(), F.concat(F.lit("<updated>"), stamp(latest), F.lit("</updated>"))).otherwise("")
     return feeds.select(
         "page_id",
         F.concat(
-            F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><id>'), _xml(F.col("link")), F.lit("</id><title>"), _xml(F.col("title")), F.lit('</title><link rel="alternate" href="'), _xml(F.col("link")),
-            F.lit('"/>'), F.array_join(F.transform(F.coalesce("items", F.array().cast(feeds.schema["items"].dataType)), entry), ""), F.lit("</feed>"),
+            F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom" xml:lang="'), _xml(F.col("language")), F.lit('"><id>'), _xml(F.col("link")), F.lit("</id><title>"), _xml(F.col("title")), F.lit("</title>"),
+            updated, own, F.lit('<link rel="alternate" href="'), _xml(F.col("link")), F.lit('"/>'), picture, F.array_join(F.transform(items, entry), ""), F.lit("</feed>"),
         ).alias("atom"),
     )

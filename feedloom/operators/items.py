@@ -64,8 +64,8 @@ def items(annotations: DataFrame, pages: DataFrame, strict_rfc: bool = False) ->
 def raw_html(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, snode, cord, i, raw_html): the markup of each block's children, tails included."""
     pieces = nodes.select("page_id", F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.col("head").alias("piece")), F.struct(F.col("end_pos").alias("pos"), F.col("foot").alias("piece")))).alias("p")).select("page_id", "p.*")
-    inside = spans.join(pieces, "page_id").where((F.col("pos") >= F.col("lo_pos")) & (F.col("pos") <= F.col("hi_pos")))
     keys = ["page_id", "snode", "cord", "i"]
+    inside = spans.select(*keys, F.explode(F.sequence("lo_pos", "hi_pos")).alias("pos")).join(pieces, ["page_id", "pos"])
     return inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("raw_html"))
 
 

@@ -22,6 +22,24 @@ def path_hash(path: Column) -> Column:
     return F.md5(path_key(path))
 
 
+def same_path(a: Column, b: Column, limit: int | None = None) -> Column:
+    """Two paths are equal, of each the first `limit` steps if given."""
+    return a == b if limit is None else F.slice(a, 1, limit) == F.slice(b, 1, limit)
+
+
+def shared_path(a: Column, b: Column) -> Column:
+    """The steps that two paths have in common, from the root."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, F.lit(False))
+    return F.slice(a, 1, F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int"))
+
+
+def relation(nodes: DataFrame) -> DataFrame:
+    """(page_id, nid, relation): each node's place as a struct of its path, XPath, hash, level, parent and child index."""
+    place = F.struct("path", xpath(F.col("path")).alias("xpath"), path_hash(F.col("path")).alias("hash"), "level", "parent_nid", "child_idx", "tag")
+    return nodes.select("page_id", "nid", place.alias("relation"))
+
+
 def with_tag_path(nodes: DataFrame) -> DataFrame:
     """nodes with tag_path: the tags from the root down to the node itself."""
     pair = nodes.select("page_id", "nid", "tag", F.posexplode(F.concat("anc", F.array("nid"))).alias("pos", "up"))
@@ -56,31 +74,24 @@ def feed_header(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def annotation_types(tag: Column, text: Column, tail: Column, kind: Column, children: Column, attrs: Column, dated: Column) -> Column:
-    """The types of a node as an array, in their fixed order."""
+    """The types of a node as an array, in their fixed order; their names are fixed values."""
     script = F.coalesce(tag == "script", F.lit(False))
     has_text, has_tail = ~blank(text) & ~script, ~blank(tail)
     empty = ~has_text & ~has_tail
-    say = lambda cond, name: F.when(cond, F.lit("tag:type:" + name))
     return F.array_compact(
         F.array(
-            say(has_text, "text"),
-            say(has_tail, "tail"),
-            say(empty, "empty"),
-            say(children == 0, "last"),
-            say((children == 1) & empty, "wrapper"),
-            say((tag == "a") & F.map_contains_key(attrs, "href"), "url"),
-            say(tag.isin("h1", "h2", "h3", "h4", "b", "strong"), "bold"),
-            say((tag == "img") & F.map_contains_key(attrs, "src"), "img"),
-            say(dated, "date"),
+            F.when(has_text, "tag:type:text"),
+            F.when(has_tail, "tag:type:tail"),
+            F.when(empty, "tag:type:empty"),
+            F.when(children == 0, "tag:type:last"),
+            F.when((children == 1) & empty, "tag:type:wrapper"),
+            F.when((tag == "a") & F.map_contains_key(attrs, "href"), "tag:type:url"),
+            F.when(tag.isin("h1", "h2", "h3", "h4", "b", "strong"), "tag:type:bold"),
+            F.when((tag == "img") & F.map_contains_key(attrs, "src"), "tag:type:img"),
+            F.when(dated, "tag:type:date"),
         )
     )
 
 
-def child_counts(nodes: DataFrame) -> DataFrame:
-    """nodes with children, the number of their direct children (comments count)."""
-    n = nodes.where("parent_nid IS NOT NULL").groupBy("page_id", F.col("parent_nid").alias("nid")).agg(F.count("*").alias("children"))
-    return nodes.join(n, ["page_id", "nid"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
-
-
 def by_page() -> Window:
     return Window.partitionBy("page_id").orderBy("nid")

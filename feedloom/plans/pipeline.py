@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import date_text
 from ..operators import blocks as B
 from ..operators import clusters as C
 from ..operators import discover as D
@@ -12,6 +13,7 @@ from ..operators import export as X
 from ..operators import items as I
 from ..operators import nodes as N
 from ..sources import feeds as feed_source
+from ..sources import pages as page_source
 from ..sources.html import nodes as node_table
 
 
@@ -26,7 +28,12 @@ class Extractor:
         self.spark, self.text_limit, self.patterns, self.as_of_year, self.strict_rfc, self.partitions = spark, text_limit, patterns, as_of_year, strict_rfc, partitions
 
     def dated(self, pages: DataFrame, raw: bool = False) -> DataFrame:
-        """The node table with the column m; persisted, as several steps read it. Call unpersist when done."""
+        """The node table with the column m; persisted, as several steps read it. Call unpersist when done.
+
+        The steps join by page and node. Nodes are partitioned by page, which serves all of these joins once Spark is told
+        that a part of a join's keys will do.
+        """
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         table = node_table(pages, partitions=self.partitions, raw=raw)
         keys = self.patterns
         if keys is None and "cached_p" in pages.columns:
@@ -62,13 +69,18 @@ class Extractor:
         return Extractor(self.spark, self.text_limit, None, self.as_of_year, self.strict_rfc, self.partitions).extract(pages.drop("cached_p"))
 
     def metrics(self, pages: DataFrame, dated: DataFrame) -> DataFrame:
-        """(page_id, page_length, num_nodes, num_datematched, num_clusters, title_extracted) per page."""
-        short = N.short_text(dated, self.text_limit).groupBy("page_id").agg(F.count("*").alias("num_nodes"), F.count("m").alias("num_datematched"))
+        """(page_id, page_length, num_nodes, num_textcompared, num_datematched, num_clusters, title_extracted) per page.
+
+        A node's text is compared, and its tail if the text is no date.
+        """
+        by_text = F.col("m").isNotNull() & (F.col("m.text") == date_text(F.col("text")))
+        compared = F.when(F.col("text").isNotNull(), 1).otherwise(0) + F.when(F.col("tail").isNotNull() & ~F.coalesce(by_text, F.lit(False)), 1).otherwise(0)
+        short = N.short_text(dated, self.text_limit).groupBy("page_id").agg(F.count("*").alias("num_nodes"), F.sum(compared).alias("num_textcompared"), F.count("m").alias("num_datematched"))
         groups = self.clusters(dated).groupBy("page_id").agg(F.countDistinct("snode").alias("num_clusters"))
         head = N.feed_header(dated, pages).select("page_id", "title_extracted")
         size = pages.select("page_id", F.octet_length(F.encode("html", "UTF-8")).cast("long").alias("page_length"))
         out = size.join(short, "page_id", "left").join(groups, "page_id", "left").join(head, "page_id", "left")
-        return out.fillna(0, ["num_nodes", "num_datematched", "num_clusters"])
+        return out.fillna(0, ["num_nodes", "num_textcompared", "num_datematched", "num_clusters"])
 
 
 class Finder:
@@ -81,15 +93,29 @@ class Finder:
         slim = node_table(pages, partitions=self.partitions, raw=False).where("tag IN ('link', 'img', 'a') OR kind = 'element'").persist()
         return D.candidates(slim, pages)
 
-    def find(self, pages: DataFrame, feed_documents: DataFrame | None = None, noverify: bool = True, include_entries: bool = False, extractrss: bool = False) -> DataFrame:
-        """The report: a row per feed of each page. Verifying needs feed_documents (url, xml), the fetched candidates."""
+    def find(
+        self, pages: DataFrame, feed_documents: DataFrame | None = None, noverify: bool = True, include_entries: bool = False, extractrss: bool = False,
+        force_htmlparse: bool = False, candidate_pages: DataFrame | None = None,
+    ) -> DataFrame:
+        """The report: a row per feed of each page. Verifying needs feed_documents (url, xml), the fetched candidates.
+
+        With force_htmlparse, candidates that are no feeds but pages (candidate_pages: page_id, url, html) are searched in turn;
+        the verified feeds that they name are added, unless the page names them itself.
+        """
         found = self.candidates(pages)
         if noverify:
             out = D.report(found)
         else:
             if feed_documents is None:
                 raise ValueError("verifying needs feed_documents")
-            out = D.verified(found, feed_source.parse(feed_documents), include_entries)
+            parsed = feed_source.parse(feed_documents)
+            out = D.verified(found, parsed, include_entries)
+            if force_htmlparse:
+                if candidate_pages is None:
+                    raise ValueError("force_htmlparse needs candidate_pages")
+                inner = D.verified(self.candidates(candidate_pages), parsed, include_entries).drop("page_id", "ord").withColumnRenamed("page_url", "via")
+                more = found.select("page_id", "page_url", F.col("url").alias("via")).distinct().join(inner, "via").dropDuplicates(["page_id", "url"])
+                out = out.unionByName(more.join(out.select("page_id", "url"), ["page_id", "url"], "left_anti").drop("via"), allowMissingColumns=True)
         if extractrss:
             extractor = Extractor(self.spark, partitions=self.partitions)
             dated = extractor.dated(pages)
@@ -99,6 +125,19 @@ class Finder:
             out = out.unionByName(header.join(count, "page_id"), allowMissingColumns=True)
         return out
 
+    def scan(self, responses: DataFrame, fetched: DataFrame | None = None, noverify: bool = True, include_entries: bool = False, extractrss: bool = False, force_htmlparse: bool = False) -> DataFrame:
+        """find over responses (url, final_url, content_type, content): those of a feed's type are feeds themselves.
+
+        fetched holds the responses of the candidates, needed for verifying and force_htmlparse. A response that is null gives no row.
+        """
+        feeds, pages = page_source.dispatch(responses.where("content IS NOT NULL"))
+        direct = direct_feed(feeds, include_entries).withColumn("page_url", F.col("url"))
+        documents = inner = None
+        if fetched is not None:
+            documents, inner = page_source.documents(fetched)
+        rest = self.find(pages, documents, noverify, include_entries, extractrss, force_htmlparse, inner)
+        return rest.unionByName(direct, allowMissingColumns=True)
+
     def find_deep(self, pages: DataFrame, targets: DataFrame, feed_documents: DataFrame) -> DataFrame:
         """One level down: candidates that are no feeds but pages (targets: page_id, url, html) give their own verified candidates."""
         parsed = feed_source.parse(feed_documents)
@@ -111,6 +150,7 @@ class Finder:
         return direct.unionByName(deep)
 
 
-def direct_feed(feed_documents: DataFrame) -> DataFrame:
+def direct_feed(feed_documents: DataFrame, include_entries: bool = False) -> DataFrame:
     """A URL that is itself a feed: one row with its title, the type always rss."""
-    return feed_source.parse(feed_documents).select("url", "title", F.lit("rss").alias("feedtype"), "num_entries", "language")
+    more = ["entries"] if include_entries else []
+    return feed_source.parse(feed_documents).select("url", "title", F.lit("rss").alias("feedtype"), "num_entries", "language", *more)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.dates import match
+from ..functions.dates import MONTHS, match
 from ..functions.text import date_text
 from ..operators import blocks as B
 from ..operators import discover as D
@@ -23,9 +23,10 @@ def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{t}.parquet")
 
 
-def _partitions(spark: SparkSession) -> int:
-    """As many as the cluster has cores, four times over for many pages."""
-    return 4 * spark.sparkContext.defaultParallelism
+def _partitions(spark: SparkSession) -> int | None:
+    """Four times the cluster's cores where shuffles make fewer partitions than that; else none, as pages need not be dealt out."""
+    few = 4 * spark.sparkContext.defaultParallelism
+    return few if int(spark.conf.get("spark.sql.shuffle.partitions")) < few else None
 
 
 def _nodes(spark, d):
@@ -86,7 +87,7 @@ def tag_counts(spark, d):
 
 
 def page_script_excluded(spark, d):
-    nodes = N.child_counts(_nodes(spark, d))
+    nodes = _nodes(spark, d)
     types = N.annotation_types(F.col("tag"), F.col("text"), F.col("tail"), F.col("kind"), F.col("children"), F.col("attrs"), F.lit(False))
     return nodes.where("tag IN ('script', 'style')").select("page_id", "tag", F.array_contains(types, "tag:type:text").alias("is_text"))
 
@@ -138,6 +139,25 @@ def date_pattern_subset(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", F.date_format(m["dt"], "yyyy-MM-dd").alias("dt"))
 
 
+def date_cached_time(spark, d):
+    """A date and time under the key of the date alone, and under that of both."""
+    text = F.date_format("o_orderdate", "dd/MM/yyyy '10:30'")
+    say = lambda key: F.date_format(match(text, keys=[key])["dt"], "yyyy-MM-dd HH:mm")
+    return _read(spark, d, "orders").select("o_orderkey", say("dt:date:date_1").alias("day"), say("dt:date:date_1:time").alias("moment"), say("dt:date:date_2").alias("none"))
+
+
+def date_cached_month(spark, d):
+    """Every language's month names under that language's own key, and under another's."""
+    langs = list(MONTHS)
+    months = F.array(*[F.array(*[F.lit(m.split("|")[0]) for m in MONTHS[x].split(" ")]) for x in langs])
+    each = _read(spark, d, "orders").select("o_orderkey", "o_orderdate", F.explode(F.sequence(F.lit(0), F.lit(len(langs) - 1))).alias("l"))
+    name = F.get(F.get(months, F.col("l")), F.month("o_orderdate") - 1)
+    text = F.concat_ws(" ", F.dayofmonth("o_orderdate").cast("string"), name, F.year("o_orderdate").cast("string"))
+    lang = F.get(F.array(*[F.lit(x) for x in langs]), F.col("l"))
+    m = match(date_text(text), keys=F.array(F.lit("dt:date:date_1"), F.concat(F.lit("dt:date:"), lang, F.lit("_dmy_full"))))
+    return each.select("o_orderkey", lang.alias("lang"), m["key"].alias("key"), F.date_format(m["dt"], "yyyy-MM-dd").alias("dt"))
+
+
 def _short(limit):
     def query(spark, d):
         made = _read(spark, d, "events").select(F.col("event_id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), (F.col("event_id") % 200).cast("int")), F.lit("</p>")).alias("html"))
@@ -181,7 +201,7 @@ def block_last_width(spark, d):
 def annotation_types(spark, d):
     pages, ex = _listing(spark, d)
     dated = ex.dated(pages)
-    anns = B.annotations(ex.spans(dated), N.child_counts(dated))
+    anns = B.annotations(ex.spans(dated), dated)
     types = N.annotation_types(F.col("tag"), F.col("text"), F.col("tail"), F.col("kind"), F.col("children"), F.col("attrs"), F.col("m").isNotNull())
     return anns.groupBy("aid", "tag", F.array_join(types, ",").alias("types")).agg(F.count("*").alias("n")).select(F.col("aid").cast("long").alias("aid"), "tag", "types", "n")
 
@@ -226,7 +246,7 @@ def feed_counts(spark, d):
 
 def session_metrics(spark, d):
     pages, ex = _listing(spark, d)
-    return ex.metrics(pages, ex.dated(pages)).select("page_id", "page_length", "num_nodes", "num_datematched", "num_clusters", "title_extracted")
+    return ex.metrics(pages, ex.dated(pages)).select("page_id", "page_length", "num_nodes", "num_textcompared", "num_datematched", "num_clusters", "title_extracted")
 
 
 def feed_json(spark, d):
@@ -281,12 +301,113 @@ def feed_verify(spark, d):
     return out.select("page_id", "url", "title", "feedtype", F.col("num_entries").cast("long").alias("num_entries"))
 
 
+def feed_malformed(spark, d):
+    """Feeds with bare ampersands, entities of HTML, remarks after the end, open tags and unknown prefixes; and no feeds at all."""
+    t = lambda title, more="": F.concat(F.lit("<rss><channel><title>"), F.lit(title), F.col("n_name"), F.lit(f"</title><item><title>one</title></item>{more}</channel></rss>"))
+    rows = F.array(
+        t("A & B "), t("A&nbsp;B&eacute; "), F.concat(t("C "), F.lit("<!-- made today --> ")), t("D ", "<item><title>two"), t("E ", "<item><media:x y=1></item>"), t("F ", "<item><title><![CDATA[a & <b>]]></title></item>"),
+        F.lit("<rss><channel><item></rss>"), F.lit("<html><rss>"), F.lit(""), F.lit(None).cast("string"), F.lit("<rss"),
+    )
+    docs = _read(spark, d, "nation").select("n_nationkey", F.posexplode(rows).alias("k", "xml")).select(F.concat_ws("/", "n_nationkey", "k").alias("url"), "xml")
+    return feed_source.parse(docs).select("url", "title", F.col("num_entries").cast("long").alias("n"), F.array_join("entries", "|").alias("entries"))
+
+
+def _responses(spark, d):
+    """Responses of each nation's page and, as type text/xml, of its feed; and of the candidates that the pages name."""
+    nation = _read(spark, d, "nation")
+    kind = lambda df, c, t: df.select("url", F.col("url").alias("final_url"), F.lit(t).alias("content_type"), F.encode(c, "UTF-8").alias("content"))
+    pages, feeds = kind(synth.link_pages(nation), "html", "text/html"), kind(synth.feed_documents(nation), "xml", "text/xml")
+    gone = nation.select(F.lit("http://gone/").alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("content")).limit(1)
+    return pages, feeds, gone
+
+
+def find_direct(spark, d):
+    """Start URLs that are pages and start URLs that are feeds, in one call."""
+    pages, feeds, gone = _responses(spark, d)
+    out = Finder(spark).scan(pages.unionByName(feeds).unionByName(gone), feeds, noverify=False)
+    return out.select("page_url", "url", "title", "feedtype", F.col("num_entries").cast("long").alias("num_entries"))
+
+
+def find_html_parse(spark, d):
+    """Pages that name a page that names the feeds: found with force_htmlparse only."""
+    pages, feeds, _ = _responses(spark, d)
+    link = F.concat(F.lit('<a href="'), F.col("url"), F.lit('">our rss</a>'))
+    top = pages.select(F.concat(F.lit("http://top/"), F.xxhash64("url")).alias("url"), F.col("url").alias("below"), F.encode(link, "UTF-8").alias("content"))
+    top = top.select("url", F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), "content")
+    out = Finder(spark).scan(top, pages.unionByName(feeds), noverify=False, force_htmlparse=True)
+    return out.groupBy("url", "title", "feedtype").agg(F.count("*").alias("n"))
+
+
+def find_entries(spark, d):
+    nation = _read(spark, d, "nation")
+    out = Finder(spark).find(synth.link_pages(nation), synth.feed_documents(nation), noverify=False, include_entries=True)
+    return out.select("page_id", "url", F.posexplode("entries").alias("pos", "entry")).select("page_id", "url", F.col("pos").cast("long").alias("pos"), "entry")
+
+
+def discover_extension(spark, d):
+    """An anchor inside another, named by its extension alone."""
+    key = F.col("n_nationkey").cast("string")
+    html = F.concat(F.lit('<a href="/in/'), key, F.lit('"><a href="/data/news'), key, F.lit('.xml">n</a></a><a href="/data/other.xml">o</a>'))
+    pages = _read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.concat(F.lit("http://n"), key, F.lit(".example/")).alias("url"), html.alias("html"))
+    return Finder(spark).candidates(pages).select("page_id", "url", "feedtype", "method")
+
+
+def url_absolute(spark, d):
+    """References of all six kinds against three pages of each nation."""
+    bases = F.array(*[F.lit(x) for x in ("/a/b.html", "/a/", "")])
+    refs = F.array(*[F.lit(x) for x in ("/x", "x.html", "./x", "https://z/q", "", "//cdn/x")])
+    host = F.concat(F.lit("http://h"), F.col("n_nationkey"))
+    each = _read(spark, d, "nation").select("n_nationkey", host.alias("host"), F.posexplode(bases).alias("b", "base")).select("n_nationkey", "host", "b", "base", F.posexplode(refs).alias("r", "ref"))
+    return each.select("n_nationkey", F.col("b").cast("long").alias("b"), F.col("r").cast("long").alias("r"), U.absolute(F.concat("host", "base"), F.col("ref")).alias("link"))
+
+
+def feed_json_items(spark, d):
+    """The items of the exported JSON, read back whole."""
+    pages, ex = _listing(spark, d)
+    from ..operators.export import to_json
+
+    item = "array<struct<title:string,description:string,pubdate:string,unique_id:string,link:string,extra:struct<links:array<string>>>>"
+    got = to_json(ex.extract(pages)[0]).select("page_id", F.posexplode(F.from_json(F.get_json_object("json", "$.items"), item)).alias("i", "x"))
+    return got.select("page_id", F.col("i").cast("long").alias("i"), "x.title", "x.description", "x.pubdate", "x.link", F.array_join("x.extra.links", ",").alias("links"))
+
+
+def feed_atom_items(spark, d):
+    """The entries of the exported ATOM documents, and their links to themselves."""
+    pages, ex = _listing(spark, d)
+    from ..operators.export import to_atom
+
+    docs = to_atom(ex.extract(pages)[0], F.concat(F.lit("http://atom/"), F.col("page_id")), F.lit("http://logo/"))
+    own = F.regexp_extract("atom", 'rel="self" href="([^"]*)"', 1).alias("self")
+    parsed = feed_source.parse(docs.select(F.col("page_id").cast("string").alias("url"), F.col("atom").alias("xml")))
+    each = parsed.select(F.col("url").cast("long").alias("page_id"), "language", F.posexplode("entries").alias("i", "title"))
+    return each.join(docs.select("page_id", own), "page_id").select("page_id", F.col("i").cast("long").alias("i"), "title", "language", "self")
+
+
+def block_histogram(spark, d):
+    """How often each distance of neighbouring blocks occurs."""
+    from pyspark.sql import Window
+
+    blocks = _blocks(spark, d, "pairs")
+    w = Window.partitionBy("page_id", "snode").orderBy("i")
+    return B.histogram(blocks.withColumn("diff", F.lead("position").over(w) - F.col("position"))).groupBy("page_id", F.col("diff").cast("long").alias("diff")).agg(F.sum("n").alias("n"))
+
+
+def node_relations(spark, d):
+    """The place of each link of a listing, and the steps that it shares with the page's first."""
+    pages, _ = _listing(spark, d)
+    nodes = node_table(pages, partitions=_partitions(spark), raw=False).where("tag = 'a'")
+    first = nodes.groupBy("page_id").agg(F.min_by("path", "nid").alias("one"))
+    told = N.relation(nodes).join(first, "page_id")
+    path = F.col("relation.path")
+    return told.select("page_id", "relation.xpath", N.same_path(path, F.col("one")).alias("same"), N.same_path(path, F.col("one"), 3).alias("beside"), F.size(N.shared_path(path, F.col("one"))).cast("long").alias("shared"))
+
+
 def discover_deep(spark, d):
     """A page of each region links to the pages of its nations, which name the feeds."""
     nation = _read(spark, d, "nation")
     below = synth.link_pages(nation)
     links = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="http://n'), F.col("n_nationkey"), F.lit('.example/n/">rss')))), "")
-    top = nation.where("n_nationkey < 5").groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(links.alias("html"))
+    top = nation.groupBy(F.col("n_regionkey").cast("long").alias("page_id")).agg(links.alias("html"))
     top = top.select("page_id", F.concat(F.lit("http://r"), F.col("page_id"), F.lit(".example/")).alias("url"), "html")
     out = Finder(spark).find_deep(top, below, synth.feed_documents(nation))
     return out.select("page_url", "url", "feedtype", F.col("depth").cast("long").alias("depth"))
@@ -322,6 +443,7 @@ _QUERIES = [
     page_title, feed_header, url_clean, url_query_kept, url_query_dropped, links_absolute, links_distinct, tag_counts, page_script_excluded, node_paths, tag_paths, date_languages, date_pattern_subset,
     cluster_sizes, cluster_first_loss, cluster_tbody, block_widths, block_last_width, annotation_types, items_basic, items_title_desc, items_links, items_unique_id, items_last_date_wins, items_raw_html,
     feed_pattern_cache, feed_counts, session_metrics, feed_json, feed_atom, discover_dedupe, discover_report, discover_extractrss, feed_parse, feed_verify, discover_deep, content_type_dispatch, charset_decode, url_join,
+    date_cached_time, date_cached_month, feed_malformed, find_direct, find_html_parse, find_entries, discover_extension, url_absolute, feed_json_items, feed_atom_items, block_histogram, node_relations,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
 QUERIES |= {f"date_parse_{s}": _date_query(s) for s in ("iso", "dmy", "named", "bracket", "time", "noyear")} | {"date_reject_prefix": _date_query("reject")}
@@ -396,7 +518,7 @@ ORACLE = {
     "feed_counts": _ITEMS.format("page_id, count(*) AS num_entries") + " GROUP BY page_id",
     "session_metrics": f"""WITH {_ORDERS} SELECT page_id, (length('<html><head><title> Orders of  </title></head><body><ul></ul></body></html>') + length(page_id::VARCHAR)
       + sum(length('<li><span></span><a href="/o/?utm_source=x&amp;id="></a></li>') + length(d) + 2 * length(key::VARCHAR) + length(title)))::BIGINT AS page_length,
-      5 + 3 * count(*) AS num_nodes, count(*) AS num_datematched, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END::BIGINT AS num_clusters, true AS title_extracted FROM e GROUP BY page_id""",
+      5 + 3 * count(*) AS num_nodes, 1 + 2 * count(*) AS num_textcompared, count(*) AS num_datematched, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END::BIGINT AS num_clusters, true AS title_extracted FROM e GROUP BY page_id""",
     "feed_json": f"WITH {_ORDERS} SELECT page_id, 'Orders of ' || page_id AS title, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n FROM e GROUP BY page_id",
     "feed_atom": f"WITH {_ORDERS} SELECT page_id, 'Orders of ' || page_id AS title, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n FROM e GROUP BY page_id",
     "discover_dedupe": f"WITH {_FOUND}, g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) AS ord FROM f) SELECT k::BIGINT AS page_id, ord, method, url FROM g",
@@ -404,13 +526,28 @@ ORACLE = {
     "discover_extractrss": f"WITH {_ORDERS} SELECT page_id, 'Orders of ' || page_id AS title, 'http://c' || page_id || '.example.com/news/' AS url, 'html' AS feedtype, count(*) AS num_entries FROM e WHERE n > 1 GROUP BY page_id",
     "feed_parse": f"WITH {_DOCS} SELECT url, title, 'rss' AS feedtype, num_entries::BIGINT AS num_entries, language FROM docs",
     "feed_verify": f"WITH {_DOCS} SELECT k::BIGINT AS page_id, url, title, CASE WHEN url LIKE '%atom%' THEN 'atom' ELSE 'undefined' END AS feedtype, num_entries::BIGINT AS num_entries FROM docs",
-    "discover_deep": f"""WITH {_DOCS}, r AS (SELECT n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY '<a href="http://n' || n_nationkey) AS nth, n_regionkey AS r FROM nation WHERE n_nationkey < 5)
+    "discover_deep": f"""WITH {_DOCS}, r AS (SELECT n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY '<a href="http://n' || n_nationkey) AS nth, n_regionkey AS r FROM nation)
       SELECT 'http://r' || r.r || '.example/' AS page_url, url, CASE WHEN url LIKE '%atom%' THEN 'atom' ELSE 'undefined' END AS feedtype, 1::BIGINT AS depth FROM docs JOIN r USING (k) WHERE nth = 1""",
     "content_type_dispatch": """SELECT v.c AS content_type, v.f AS is_feed, count(*) AS n FROM nation, (VALUES ('application/rss+xml', true), ('application/rdf+xml', true), ('application/atom+xml', true), ('application/xml', true),
       ('text/xml', true), ('text/html', false), ('text/xml; charset=utf-8', false), ('application/json', false), (NULL, false)) v(c, f) GROUP BY ALL""",
     "charset_decode": "SELECT n_nationkey, n_name || ' Čéü' AS utf8, n_name || ' éü' AS latin, n_name || ' Čéü' AS utf16 FROM nation",
     "url_join": """SELECT page_id, k, replace(link, 'HOST', 'http://h' || page_id || '.example') AS link FROM pages, (VALUES (0::BIGINT, 'HOST/x'), (1, 'HOST/a/b/x'), (2, 'HOST/a/x'), (3, 'HOST/a/b/x?a=1#f'), (4, 'http://cdn/x'),
       (5, 'http://z/y'), (6, 'HOST/a/b/c.html?q'), (7, 'HOST/a/b/c.html#f'), (8, 'HOST/a/b/c.html')) v(k, link)""",
+    "date_cached_time": f"SELECT o_orderkey, {_AT} || ' 00:00' AS day, {_AT} || ' 10:30' AS moment, NULL::VARCHAR AS none FROM orders",
+    "date_cached_month": f"SELECT o_orderkey, lang, 'dt:date:' || lang || '_dmy_full' AS key, {_AT} AS dt FROM orders, (VALUES ('en'), ('de'), ('fr'), ('es'), ('pt'), ('ru'), ('bg'), ('cz')) v(lang)",
+    "feed_malformed": """SELECT n_nationkey || '/' || k AS url, p || n_name AS title, n, e AS entries FROM nation, (VALUES (0, 'A & B ', 1::BIGINT, 'one'), (1, 'A' || chr(160) || 'B' || chr(233) || ' ', 1, 'one'), (2, 'C ', 1, 'one'),
+      (3, 'D ', 2, 'one|two'), (4, 'E ', 2, 'one'), (5, 'F ', 2, 'one|a & <b>')) v(k, p, n, e)""",
+    "find_direct": f"""WITH {_DOCS} SELECT 'http://n' || k || '.example/n/' AS page_url, url, title, CASE WHEN url LIKE '%atom%' THEN 'atom' ELSE 'undefined' END AS feedtype, num_entries::BIGINT AS num_entries FROM docs
+      UNION ALL SELECT url, url, title, 'rss', num_entries::BIGINT FROM docs""",
+    "find_html_parse": f"WITH {_DOCS} SELECT url, title, CASE WHEN url LIKE '%atom%' THEN 'atom' ELSE 'undefined' END AS feedtype, 1::BIGINT AS n FROM docs",
+    "find_entries": f"WITH {_DOCS} SELECT k::BIGINT AS page_id, url, pos, 'e' || pos AS entry FROM docs, (VALUES (0::BIGINT), (1), (2)) v(pos) WHERE pos < num_entries",
+    "discover_extension": "SELECT n_nationkey::BIGINT AS page_id, 'http://n' || n_nationkey || '.example/data/news' || n_nationkey || '.xml' AS url, 'undefined' AS feedtype, 'extension' AS method FROM nation",
+    "url_absolute": """SELECT n_nationkey, b, r, replace(link, 'HOST', 'http://h' || n_nationkey) AS link FROM nation, (VALUES (0::BIGINT, 0::BIGINT, 'HOST/x'), (0, 1, 'x.html'), (0, 2, 'HOST/a/x'), (0, 3, 'https://z/q'), (0, 4, 'HOST'), (0, 5, 'HOST//cdn/x'),
+      (1, 0, 'HOST/x'), (1, 1, 'HOST/a/x.html'), (1, 2, 'HOST/a/x'), (1, 3, 'https://z/q'), (1, 4, 'HOST'), (1, 5, 'HOST//cdn/x'), (2, 0, 'HOST/x'), (2, 1, 'x.html'), (2, 2, 'http://x'), (2, 3, 'https://z/q'), (2, 4, 'HOST'), (2, 5, 'HOST//cdn/x')) v(b, r, link)""",
+    "feed_json_items": _ITEMS.format("page_id, i, title, title AS description, strftime(od, '%Y-%m-%dT%H:%M:%S') AS pubdate, link, link AS links"),
+    "feed_atom_items": _ITEMS.format("page_id, i, title, 'en' AS language, 'http://atom/' || page_id AS self"),
+    "block_histogram": _ITEMS.format("page_id, 2::BIGINT AS diff, count(*) - 1 AS n") + " GROUP BY page_id",
+    "node_relations": f"""WITH {_ORDERS} SELECT page_id, '//html/*[1]/*[2]/*[1]/*[' || (i + 1) || ']/*[2]' AS xpath, i = 0 AS same, true AS beside, CASE WHEN i = 0 THEN 5 ELSE 3 END::BIGINT AS shared FROM e""",
 }
 for _m in ("link", "img", "name", "segment", "text"):
     ORACLE[f"discover_{_m}"] = f"WITH {_FOUND} SELECT k::BIGINT AS page_id, url, feedtype, title, confidence FROM f WHERE method = '{_m}'"

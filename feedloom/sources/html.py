@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODES = (
-    "page_id long, nid int, parent_nid int, end_nid int, level int, child_idx int, kind string, tag string, text string, tail string, xp_text string, "
+    "page_id long, nid int, parent_nid int, end_nid int, level int, child_idx int, children int, kind string, tag string, text string, tail string, xp_text string, "
     "attrs map<string,string>, path array<int>, anc array<int>, start_pos int, end_pos int, head string, foot string"
 )
 #: Columns of the node table that only raw HTML needs.
@@ -145,39 +145,55 @@ def parse(html: str) -> _Node | None:
     return builder.root
 
 
-def rows(page_id, root: _Node):
-    """The node table's rows of one page, in document order, without recursion."""
-    out, pos, nid = [], 0, 0
-    stack = [(root, None, 0, (), (), False)]
+def rows(page_id, root: _Node, out: dict[str, list], raw: bool = True) -> None:
+    """Appends the node table's rows of one page to the columns of out, in document order, without recursion."""
+    put = {name: column.append for name, column in out.items()}
+    base, pos, nid = len(out["nid"]), 0, 0
+    ends, end_pos = out["end_nid"], out.get("end_pos")
+    stack = [(root, 0, (), (), None)]
     while stack:
-        node, row, index, path, anc, done = stack.pop()
-        if done:
-            row["end_nid"], row["end_pos"] = nid - 1, pos
-            pos += 1
+        node, index, path, anc, done = stack.pop()
+        if done is not None:
+            ends[base + done] = nid - 1
+            if raw:
+                end_pos[base + done] = pos
+                pos += 1
             continue
-        empty = node.kind == "element" and not node.children and node.text is None
         path = (*path, index)
-        tail = escape(node.tail, quote=False) if node.tail else ""
-        if node.kind == "comment":
-            head, foot = f"<!--{node.text}-->", tail
-        else:
-            attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
-            head = f"<{node.tag}{attrs}" + ("/>" if empty else ">" + (escape(node.text, quote=False) if node.text else ""))
-            foot = ("" if empty else f"</{node.tag}>") + tail
-        first = node.children[0].tail if node.children else None
-        row = {
-            "page_id": page_id, "nid": nid, "parent_nid": anc[-1] if anc else None, "end_nid": nid, "level": len(path), "child_idx": index,
-            "kind": node.kind, "tag": node.tag, "text": node.text, "tail": node.tail, "xp_text": node.text or first or None,
-            "attrs": list(node.attrs.items()), "path": list(path), "anc": list(anc), "start_pos": pos, "end_pos": pos, "head": head, "foot": foot,
-        }
-        out.append(row)
-        pos += 1
-        stack.append((node, row, index, path, anc, True))
+        if raw:
+            empty = node.kind == "element" and not node.children and node.text is None
+            tail = escape(node.tail, quote=False) if node.tail else ""
+            if node.kind == "comment":
+                head, foot = f"<!--{node.text}-->", tail
+            else:
+                attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
+                head = f"<{node.tag}{attrs}" + ("/>" if empty else ">" + (escape(node.text, quote=False) if node.text else ""))
+                foot = ("" if empty else f"</{node.tag}>") + tail
+            put["start_pos"](pos)
+            put["end_pos"](pos)
+            put["head"](head)
+            put["foot"](foot)
+            pos += 1
+        put["page_id"](page_id)
+        put["nid"](nid)
+        put["parent_nid"](anc[-1] if anc else None)
+        put["end_nid"](nid)
+        put["level"](len(path))
+        put["child_idx"](index)
+        put["children"](len(node.children))
+        put["kind"](node.kind)
+        put["tag"](node.tag)
+        put["text"](node.text)
+        put["tail"](node.tail)
+        put["xp_text"](node.text or (node.children[0].tail if node.children else None) or None)
+        put["attrs"](list(node.attrs.items()))
+        put["path"](path)
+        put["anc"](anc)
+        stack.append((node, index, path, anc, nid))
         inside = (*anc, nid)
         nid += 1
         for i in range(len(node.children) - 1, -1, -1):
-            stack.append((node.children[i], None, i, path, inside, False))
-    return out
+            stack.append((node.children[i], i, path, inside, None))
 
 
 def nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None, raw: bool = True) -> DataFrame:
@@ -185,27 +201,28 @@ def nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = Non
 
     Pages are dealt out to `partitions` before the Python stage if given (a small file arrives as few partitions), and each
     page's rows are together after it, so that windows and groups by page need no further exchange. A null or blank
-    page has no rows. raw=False leaves out the serialised pieces.
+    page has no rows. raw=False neither makes nor moves the serialised pieces.
     """
     import pyarrow as pa
 
     types = {"attrs": pa.map_(pa.string(), pa.string()), "path": pa.list_(pa.int32()), "anc": pa.list_(pa.int32()), "page_id": pa.int64()}
-    names = [c.split()[0] for c in NODES.split(", ")]
+    fields = [f for f in NODES.split(", ") if raw or f.split()[0] not in RAW]
     text = {"kind", "tag", "text", "tail", "xp_text", "head", "foot"}
-    schema = pa.schema([(n, types.get(n, pa.string() if n in text else pa.int32())) for n in names])
+    schema = pa.schema([(n, types.get(n, pa.string() if n in text else pa.int32())) for n in (f.split()[0] for f in fields)])
 
     def work(batches):
+        fresh = lambda: {n: [] for n in schema.names}
         for batch in batches:
-            found = []
+            found = fresh()
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = parse(html or "")
                 if root is not None:
-                    found += rows(page_id, root)
-                if len(found) > 20_000:
-                    yield pa.RecordBatch.from_pylist(found, schema=schema)
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    rows(page_id, root, found, raw)
+                if len(found["nid"]) > 20_000:
+                    yield pa.RecordBatch.from_pydict(found, schema=schema)
+                    found = fresh()
+            if found["nid"]:
+                yield pa.RecordBatch.from_pydict(found, schema=schema)
 
     from ..plans.code import ship
 
@@ -213,5 +230,4 @@ def nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = Non
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     if partitions:
         pages = pages.repartition(partitions)
-    out = pages.mapInArrow(work, NODES).repartition("page_id")
-    return out if raw else out.drop(*RAW)
+    return pages.mapInArrow(work, ", ".join(fields)).repartition("page_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values
 #: MIME types of feeds, compared as they are (a charset makes them miss).
 FEED_CONTENT_TYPES = ["application/rss+xml", "application/rdf+xml", "application/atom+xml", "application/xml", "text/xml"]
 
@@ -49,3 +50,12 @@ def dispatch(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     feeds = responses.where(feed).select(F.col("final_url").alias("url"), decoded.alias("xml"))
     pages = responses.where(~feed).select(F.xxhash64("final_url").alias("page_id"), F.col("final_url").alias("url"), decoded.alias("html"))
     return feeds, pages
+
+
+def documents(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents (url, xml), pages (page_id, url, html)) of fetched candidates: any may turn out to be a feed, whatever its type;
+    those without a feed's type may be pages. They keep the URL that was asked for, by which they are looked up."""
+    there = fetched.where("content IS NOT NULL")
+    decoded = decode(F.col("content"))
+    html = there.where(~is_feed(F.col("content_type"))).select(F.xxhash64("url").alias("page_id"), "url", decoded.alias("html"))
+    return there.select("url", decoded.alias("xml")), html
