@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +29,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
 _REST = re.compile(r"[A-Za-z0-9@.+()_:-]*+")
 _SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+()_:-")
-#: Length of the longest candidate.
-LONG = 128
+#: Length of the longest candidate: a mailbox's 64 letters, the sign and a domain's 255 (RFC 5321); no other kind is longer.
+LONG = 320
 _AT = re.compile(r" ?(?:@|[(\[{] ?[Aa][Tt] ?[)\]}]) ?| at (?=[^\s@]{1,64}(?:\.[A-Za-z]| dot |[(\[{]dot))")
 _LOCAL = re.compile(r"[^\s@<>()\[\]{},;:\"'|/]{1,64}\Z")
-_DOMAIN = re.compile(r"[^\s@<>()\[\]{},;:\"'|/]{1,64}(?:(?: dot | ?[(\[{]dot[)\]}] ?)[^\s@<>()\[\]{},;:\"'|/]{1,64}){0,4}")
+_DOMAIN = re.compile(r"[^\s@<>()\[\]{},;:\"'|/]{1,255}(?:(?: dot | ?[(\[{]dot[)\]}] ?)[^\s@<>()\[\]{},;:\"'|/]{1,63}){0,4}")
 _QUAD = re.compile(r"(?<![A-Za-z0-9@_.-])[0-9]++(?:\.[0-9]++)++(?![A-Za-z0-9@_-])")
 _GROUPS = re.compile(r"(?<![A-Za-z0-9@._:-])(?:\+ ?)?\(?[0-9]++(?:(?:[ .-]|\)[ -]?|[ -]?\()[0-9]++)++")
 _PLAIN_GROUPS = re.compile(r"[0-9+() .-]*")
@@ -88,7 +89,12 @@ def _shape(value: str) -> str:
     for m in re.finditer(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]", value):
         x = m.group()
         out.append((f"9{len(x)}" if len(x) <= 4 or len(x) >= 12 else "9") if x[0].isdigit() else "a" if x[0].isalpha() else x)
-    return "".join(out)[:64]
+    return _short("".join(out), 64)
+
+
+def _short(value: str, most: int) -> str:
+    """value, or where it is longer its digest: different values stay different."""
+    return value if len(value) <= most else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _general(value: str) -> str:
@@ -101,7 +107,7 @@ def _general(value: str) -> str:
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    """The words beside a span, lower-cased, at most 32 letters of each; empty at a line's end."""
+    """The words beside a span, lower-cased; empty at a line's end. Of a long word the 32 letters next to the span tell it."""
     left = text[max(0, a - 48) : a].rsplit("\n", 1)[-1].split()
     right = text[b : b + 48].split("\n", 1)[0].split()
     return (left[-1].lower()[-32:] if left else ""), (right[0].lower()[:32] if right else "")
@@ -179,7 +185,7 @@ def found_in(text: str) -> tuple[list, list]:
 
     def tell(kind, a, b):
         left, right = _context(text, a, b)
-        value = text[a:b].lower()[:128]
+        value = _short(text[a:b].lower(), 128)
         shape, general = _shape(text[a:b]), _general(text[a:b])
         patterns = [f"L {left} {shape}", f"R {right} {shape}"]
         patterns += [f"{side} {word} ~{general}" for side, word in (("L", left), ("R", right)) if general and word]
@@ -205,7 +211,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     its shape's class (word at word, dotted numbers, digit groups) where there is such a word.
     In rounds, a pattern's score for a kind is the smoothed mean score of its different instances, and an instance's the
     best of its patterns'. Unseen instances that trusted patterns score highly are added where they stand;
-    they never overlap a base span. Null and empty texts have no spans; repeated rows repeat, but a value counts once for
+    they never overlap a base span. Candidates are words at words, dotted numbers, and groups or tokens of DIGITS digits or more,
+    up to LONG characters; base spans may have any length. Null and empty texts have no spans; repeated rows repeat, but a value counts once for
     a pattern; empty tables give no rows; other columns are ignored. All statistics cover all documents; counting
     pre-aggregates, and nothing of the graph is gathered on the driver.
     """
