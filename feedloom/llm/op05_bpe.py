@@ -16,8 +16,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 END = "</w>"
-#: Chunks between white space whose encodings a Python worker keeps in each of two generations.
-CACHE = 300_000
+#: Bytes, about, that the encodings of chunks between white space take in each of a Python worker's two generations of them; pairs
+#: of tokens whose border is remembered.
+CACHE, BORDERS = 48 << 20, 300_000
 #: Texts in a piece of work.
 SLICE = 512
 
@@ -52,6 +53,7 @@ class Coder:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.apart_memo: dict[tuple[str, str], bool] = {}
         self.whole_memo: dict[str, bool] = {}
+        self.held = 0
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
@@ -76,7 +78,7 @@ class Coder:
     def apart(self, a: str, b: str) -> bool:
         known = self.apart_memo.get((a, b))
         if known is None:
-            if len(self.apart_memo) > 1_000_000:
+            if len(self.apart_memo) > BORDERS:
                 self.apart_memo.clear()
             known = self.apart_memo[a, b] = self.merge(self.symbols(a) + self.symbols(b)) == [a, b]
         return known
@@ -139,11 +141,16 @@ class Coder:
     def spell(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
 
+    @staticmethod
+    def cost(chunk: str, ids: bytes, said: str) -> int:
+        return 300 + 2 * len(chunk) + len(ids) + 2 * len(said)
+
     def learn(self, fresh) -> None:
         """Adds chunks (of normal text, without white space) to the cache; those of the last generation move over."""
         chunks, old = self.chunks, self.old
         for c in fresh & old.keys():
             chunks[c] = old[c]
+            self.held += self.cost(c, *old[c])
         fresh -= old.keys()
         parts, words = {}, set()
         for c in fresh:
@@ -156,7 +163,8 @@ class Coder:
         ids, pack = self.ids, struct.Struct("<I").pack
         for c in fresh:
             tokens = [t for w in parts[c] for t in known[w]] if c in parts else known[c]
-            chunks[c] = (b"".join([pack(ids[t]) for t in tokens]), " ".join(tokens))
+            chunks[c] = known_ids, said = b"".join([pack(ids[t]) for t in tokens]), " ".join(tokens)
+            self.held += self.cost(c, known_ids, said)
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
@@ -167,8 +175,8 @@ class Coder:
                 pieces.append([s if i % 2 else self.split(self.normal(s)) for i, s in enumerate(self.split_special(text))])
             else:
                 pieces.append([self.split(self.normal(text))])
-        if len(self.chunks) > CACHE:
-            self.old, self.chunks = self.chunks, {}
+        if self.held > CACHE:
+            self.old, self.chunks, self.held = self.chunks, {}, 0
         fresh = set()
         for p in pieces:
             for x in p[::2]:
