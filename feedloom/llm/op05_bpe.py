@@ -18,9 +18,11 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 END = "</w>"
 #: Bytes, about, that the encodings of chunks between white space take in each of a Python worker's two generations of them; pairs
 #: of tokens whose border is remembered.
-CACHE, BORDERS = 48 << 20, 300_000
-#: Texts in a piece of work.
-SLICE = 512
+CACHE, BORDERS = 96 << 20, 500_000
+#: Letters from which a word's states are worked out from the front, without recursion.
+DEEP = 200
+#: Texts in a piece of work: the more, the more prefixes are shared.
+SLICE = 1024
 
 
 def byte_letters() -> list[str]:
@@ -90,10 +92,33 @@ class Coder:
         return known
 
     def encode_words(self, words) -> dict[str, list[str]]:
-        """The tokens of each distinct word. Sorted words are the trie's depth-first order; tokens is the path's states."""
+        """The tokens of each distinct word. Sorted words are the trie's depth-first order; tokens holds the path's states.
+
+        A state is worked out when a longer prefix or a word first needs it, and stays while the path shares that prefix.
+        """
         out: dict[str, list[str]] = {}
         ids, longest, memo, apart, whole = self.ids, self.longest, self.apart_memo, self.apart, self.whole
         before, tokens = "", [""]
+
+        def last(word: str, i: int, end: str) -> tuple[str, int]:
+            """The last token of the prefix of i letters (and end), and where it starts."""
+            low = 0 if i <= longest else i - longest
+            tail = word[low:i] + end
+            for k in range(low, i):
+                t = tail[k - low :]
+                if t in ids:
+                    if not k:
+                        if whole(t):
+                            return t, 0
+                        continue
+                    state = tokens[k]
+                    if state is None:
+                        state = tokens[k] = last(word, k, "")[0]
+                    fits = memo.get((state, t))
+                    if fits or fits is None and apart(state, t):
+                        return t, k
+            raise ValueError(f"no token ends {tail!r}")
+
         for word in sorted(words):
             n = len(word)
             most = min(len(before), n - 1, len(tokens) - 1)
@@ -101,23 +126,12 @@ class Coder:
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del tokens[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                low = k = 0 if i <= longest else i - longest
-                t = tail = word[low:i] if i < n else word[low:] + END
-                while True:
-                    if t in ids:
-                        if k:
-                            fits = memo.get((tokens[k], t))
-                            if fits or fits is None and apart(tokens[k], t):
-                                break
-                        elif whole(t):
-                            break
-                    k += 1
-                    if k >= i:
-                        raise ValueError(f"no token ends {tail!r}")
-                    t = tail[k - low :]
-                if i < n:
-                    tokens.append(t)
+            tokens += [None] * (n - 1 - shared)
+            if n > DEEP:
+                for i in range(1, n):
+                    if tokens[i] is None:
+                        tokens[i] = last(word, i, "")[0]
+            t, k = last(word, n, END)
             chain = [t]
             while k > 0:
                 t = tokens[k]
