@@ -15,6 +15,9 @@ from . import common
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+#: ASCII that is neither letter, digit nor white space.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in "\t\n\x0b\x0c\r ")
+
 END = "</w>"
 #: Bytes, about, that the encodings of chunks between white space take in each of a Python worker's two generations of them; pairs
 #: of tokens whose border is remembered.
@@ -49,15 +52,17 @@ class Coder:
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.longest = max(len(t.removesuffix(END)) for t in self.ids)
-        self.letters = byte_letters()
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
         self.find = regex.compile(WORD_PATTERN.replace(r"\s", WHITE)).findall
         self.split_white = regex.compile(f"[{WHITE}]+").split
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.apart_memo: dict[tuple[str, str], bool] = {}
         self.whole_memo: dict[str, bool] = {}
+        self.packed = {t: struct.pack("<I", i) for t, i in self.ids.items()}
         self.held = 0
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.coded: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -148,37 +153,53 @@ class Coder:
         return text.lower()
 
     def split(self, text: str) -> list[str]:
-        if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, but not to Unicode
             return [x for x in self.split_white(text) if x]
         return text.split()
 
     def spell(self, word: str) -> str:
-        return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-
-    @staticmethod
-    def cost(chunk: str, ids: bytes, said: str) -> int:
-        return 300 + 2 * len(chunk) + len(ids) + 2 * len(said)
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
 
     def learn(self, fresh) -> None:
-        """Adds chunks (of normal text, without white space) to the cache; those of the last generation move over."""
-        chunks, old = self.chunks, self.old
-        for c in fresh & old.keys():
-            chunks[c] = old[c]
-            self.held += self.cost(c, *old[c])
-        fresh -= old.keys()
-        parts, words = {}, set()
-        for c in fresh:
-            if c.isascii() and c.isalpha():
-                words.add(c)
-            else:
-                parts[c] = [self.spell(w) for w in self.find(c)]
-                words.update(parts[c])
-        known = self.encode_words(words)
-        ids, pack = self.ids, struct.Struct("<I").pack
+        """Adds chunks (of normal text, without white space) to the cache; those of the last generation move over.
+
+        A word is a chunk of its own, so chunks that differ only in the marks around a word share its encoding.
+        """
+        coded, said = self.coded, self.said
+        old_coded, old_said = self.old
+        held = 0
+        for c in fresh & old_coded.keys():
+            coded[c], said[c] = old_coded[c], old_said[c]
+            held += 300 + 2 * len(c) + len(coded[c]) + 2 * len(said[c])
+        fresh -= old_coded.keys()
+        words, parts, find = set(), {}, self.find
         for c in fresh:
-            tokens = [t for w in parts[c] for t in known[w]] if c in parts else known[c]
-            chunks[c] = known_ids, said = b"".join([pack(ids[t]) for t in tokens]), " ".join(tokens)
-            self.held += self.cost(c, known_ids, said)
+            if c.isascii():
+                letters = c.rstrip(MARKS)
+                if letters.isalpha():
+                    if len(letters) == len(c):
+                        words.add(c)
+                    else:
+                        parts[c] = found = (letters, c[len(letters) :])
+                        words.update(found)
+                    continue
+            found = find(c)
+            if len(found) > 1:
+                parts[c] = found
+            words.update(found)
+        words -= coded.keys()
+        spelled = {w: self.spell(w) for w in words}
+        known, packed = self.encode_words(spelled.values()), self.packed
+        for w, spelling in spelled.items():
+            tokens = known[spelling]
+            coded[w] = a = b"".join([packed[t] for t in tokens])
+            said[w] = b = " ".join(tokens)
+            held += 300 + 2 * len(w) + len(a) + 2 * len(b)
+        for c, found in parts.items():
+            coded[c] = a = b"".join([coded[w] for w in found])
+            said[c] = b = " ".join([said[w] for w in found])
+            held += 300 + 2 * len(c) + len(a) + 2 * len(b)
+        self.held += held
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
@@ -190,25 +211,26 @@ class Coder:
             else:
                 pieces.append([self.split(self.normal(text))])
         if self.held > CACHE:
-            self.old, self.chunks, self.held = self.chunks, {}, 0
+            self.old, self.coded, self.said, self.held = (self.coded, self.said), {}, {}, 0
         fresh = set()
         for p in pieces:
             for x in p[::2]:
                 fresh.update(x)
-        self.learn(fresh - self.chunks.keys())
-        chunks, out = self.chunks, []
+        self.learn(fresh - self.coded.keys())
+        coded, said, out = self.coded.__getitem__, self.said.__getitem__, []
         for p in pieces:
             if len(p) == 1:
-                found = [x for x in map(chunks.__getitem__, p[0]) if x[0]]
-                out.append((b"".join([a for a, _ in found]), " ".join([b for _, b in found])))
+                out.append((b"".join(map(coded, p[0])), " ".join(map(said, p[0]))))
                 continue
-            found = []
+            a, b = [], []
             for i, x in enumerate(p):
                 if i % 2:
-                    found.append((struct.pack("<I", self.special[x]), x))
+                    a.append(struct.pack("<I", self.special[x]))
+                    b.append(x)
                 else:
-                    found += [chunks[c] for c in x]
-            out.append((b"".join([a for a, _ in found]), " ".join([b for a, b in found if a])))
+                    a += map(coded, x)
+                    b += map(said, x)
+            out.append((b"".join(a), " ".join(b)))
         return out
 
 
