@@ -13,6 +13,8 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DEPTH = 6
 #: A branch stays apart from its siblings only with so many rows and so large a z score.
 SUPPORT, Z = 10, 2.58
+#: Bands of the labelled rate in which a node's branches are pooled before they are held against each other.
+BANDS = 16
 #: Weight of the parent's rate in a child's, in labelled rows; the rate at which a template is rejected.
 SMOOTH, REJECT = 4.0, 0.5
 
@@ -36,14 +38,52 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<action:string,rule:string>")
 
 
+def unlike(known: Column, bad: Column, known2: Column, bad2: Column) -> Column:
+    """Whether two labelled rates differ, by the two-proportion z test."""
+    n, n2 = F.greatest(known, F.lit(1)), F.greatest(known2, F.lit(1))
+    pooled = (bad + bad2) / F.greatest(known + known2, F.lit(1))
+    return F.abs(bad / n - bad2 / n2) > Z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / n2))
+
+
+def merge(apart: DataFrame) -> DataFrame:
+    """apart (host, template, segment, known, bad) with the column kept, the name of the segment's cluster.
+
+    Branches of a node are pooled by bands of their rate; neighbouring bands go together, from the lowest on, as long as the
+    test doesn't tell the next one from those already together. A node has BANDS bands at most, however many branches.
+    A cluster is named after its only branch, or as {first branch+number of others}.
+    """
+    node = ["host", "template"]
+    apart = apart.withColumn("band", F.expr(f"cast(least(bad * {BANDS} div known, {BANDS - 1}) AS int)"))
+    bands = apart.groupBy(*node, "band").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    bands = bands.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("band", "known", "bad"))).alias("bands"))
+    start = F.expr("named_struct('known', 0L, 'bad', 0L, 'first', -1, 'out', cast(array() AS array<struct<band:int,first:int>>))")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = (acc["known"] == 0) | unlike(acc["known"], acc["bad"], x["known"], x["bad"])
+        first = F.when(fresh, x["band"]).otherwise(acc["first"])
+        return F.struct(
+            F.when(fresh, x["known"]).otherwise(acc["known"] + x["known"]).alias("known"),
+            F.when(fresh, x["bad"]).otherwise(acc["bad"] + x["bad"]).alias("bad"),
+            first.alias("first"),
+            F.concat(acc["out"], F.array(F.struct(x["band"].alias("band"), first.alias("first")))).alias("out"),
+        )
+
+    first = bands.select(*node, F.inline(F.aggregate("bands", start, step, lambda acc: acc["out"])))
+    member = apart.join(first, [*node, "band"]).select(*node, "segment", "first")
+    name = F.when(F.col("n") == 1, F.col("least")).otherwise(F.concat(F.lit("{"), F.col("least"), F.lit("+"), F.col("n") - 1, F.lit("}")))
+    cluster = member.groupBy(*node, "first").agg(F.min("segment").alias("least"), F.count("*").alias("n")).select(*node, "first", name.alias("kept"))
+    return member.join(cluster, [*node, "first"]).select(*node, "segment", "kept")
+
+
 def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """rows (host, segments, y, ...) with the column template: the path with variable segments as `*`.
 
-    Level by level, each node's children are counted. A child keeps its name if it is frequent and its labelled
-    rate of bad rows differs from its siblings' (two-proportion z test); all other children are statistically
-    alike or variable, and are merged into the wildcard. Counting pre-aggregates, so a host may hold any share of
-    the rows; its size plays no part, so growth of its siblings alone merges no child. At most rows / SUPPORT children of a
-    level keep their names, and where those are many the join with them shuffles.
+    Level by level, each node's children are counted. A child stands apart if it is frequent and its labelled rate of
+    bad rows differs from its siblings' (two-proportion z test); those apart that are alike are merged with each other
+    (`merge`), and their descendants count together. All other children are variable, or like the whole, and are merged into
+    the wildcard. Counting pre-aggregates, so a host may hold any share of the rows; its size plays no part, so growth of
+    its siblings alone merges no child. At most rows / SUPPORT children of a level stand apart, and where those are many the
+    joins with them shuffle.
     """
     rows = rows.withColumn("template", F.lit(""))
     for level in range(depth):
@@ -52,17 +92,18 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         child = here.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).where(F.col("n") >= SUPPORT)
         node = here.groupBy("host", "template").agg(F.count("*").alias("all_n"), F.count("y").alias("all_known"), F.coalesce(F.sum("y"), F.lit(0)).alias("all_bad"))
         rest_known, rest_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.greatest("all_known", F.lit(1))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("known", F.lit(1)) + 1 / F.greatest(rest_known, F.lit(1))))
-        gap = F.abs(F.col("bad") / F.greatest("known", F.lit(1)) - rest_bad / F.greatest(rest_known, F.lit(1)))
         apart = (
             child.join(node, ["host", "template"])
-            .where((F.col("known") > 0) & (rest_known > 0) & (gap > Z * spread))
-            .select("host", "template", F.col("segment").alias("kept"))
+            .where((F.col("known") > 0) & (rest_known > 0) & unlike(F.col("known"), F.col("bad"), rest_known, rest_bad))
+            .select("host", "template", "segment", "known", "bad")
         )
-        apart = common.broadcast_if_small(common.cut(apart, "branches"))
+        apart = common.cut(apart, "branches")
+        if apart.isEmpty():
+            rows = rows.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/*"))))
+            continue
+        apart = common.broadcast_if_small(common.cut(merge(apart), "clusters"))
         rows = rows.withColumn("segment", seg).alias("r").join(
-            apart.alias("k"), (F.col("r.host") == F.col("k.host")) & (F.col("r.template") == F.col("k.template")) & (F.col("r.segment") == F.col("k.kept")), "left"
+            apart.alias("k"), (F.col("r.host") == F.col("k.host")) & (F.col("r.template") == F.col("k.template")) & (F.col("r.segment") == F.col("k.segment")), "left"
         ).select(
             *[F.col(f"r.{c}") for c in rows.columns if c != "template"],
             F.when(F.col("r.segment").isNull(), F.col("r.template")).otherwise(F.concat(F.col("r.template"), F.lit("/"), F.coalesce("k.kept", F.lit("*")))).alias("template"),

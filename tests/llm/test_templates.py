@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from feedloom.llm import op01_url_filter as op1
 
 
+def plain_unlike(known, bad, known2, bad2):
+    pooled = (bad + bad2) / (known + known2)
+    return abs(bad / known - bad2 / known2) > op1.Z * math.sqrt(pooled * (1 - pooled) * (1 / known + 1 / known2))
+
+
 def plain_templates(rows, depth):
     """rows (host, segments, y or None): each row's template, level by level with dictionaries."""
     out = [""] * len(rows)
@@ -20,15 +25,27 @@ def plain_templates(rows, depth):
                     count[0] += 1
                     count[1] += y is not None
                     count[2] += y or 0
-        kept = set()
+        kept = defaultdict(list)
         for (host, t, name), (n, known, bad) in child.items():
             _, all_known, all_bad = node[host, t]
             rest, rest_bad = all_known - known, all_bad - bad
             if n >= op1.SUPPORT and known and rest:
-                pooled = all_bad / all_known
-                if abs(bad / known - rest_bad / rest) > op1.Z * math.sqrt(pooled * (1 - pooled) * (1 / known + 1 / rest)):
-                    kept.add((host, t, name))
-        out = [t + "/" + (seg[level] if (host, t, seg[level]) in kept else "*") if level < len(seg) else t for (host, seg, _), t in zip(rows, out)]
+                if plain_unlike(known, bad, rest, rest_bad):
+                    kept[host, t].append((min(bad * op1.BANDS // known, op1.BANDS - 1), name, known, bad))
+        names = {}
+        for (host, t), branches in kept.items():
+            clusters = []
+            for band in sorted({b for b, *_ in branches}):
+                here = [x for x in branches if x[0] == band]
+                known, bad = sum(x[2] for x in here), sum(x[3] for x in here)
+                if clusters and not plain_unlike(sum(x[2] for x in clusters[-1]), sum(x[3] for x in clusters[-1]), known, bad):
+                    clusters[-1] += here
+                else:
+                    clusters.append(here)
+            for c in clusters:
+                least = min(x[1] for x in c)
+                names |= {(host, t, x[1]): least if len(c) == 1 else f"{{{least}+{len(c) - 1}}}" for x in c}
+        out = [t + "/" + names.get((host, t, seg[level]), "*") if level < len(seg) else t for (host, seg, _), t in zip(rows, out)]
     return [t + "/**" if len(seg) > depth else t for (_, seg, _), t in zip(rows, out)]
 
 
@@ -52,6 +69,19 @@ def test_tree_is_the_plain_tree(spark):
     assert any(t.startswith("/s1/") for t in want) and any("/p3" in t for t in want)
 
 
+def test_alike_branches_are_merged_with_each_other(spark):
+    r, rows = random.Random(3), []
+    for _ in range(6000):
+        a, b = r.randrange(12), f"q{r.randrange(3)}"
+        rate = 0.05 if a not in (2, 5, 7) else 0.1 if b == "q1" else 0.95
+        rows.append(("h.org", [f"s{a:02}", b, str(r.randrange(10**6))], int(r.random() < rate)))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i long, host string, segments array<string>, y int")
+    got = {x["i"]: x["template"] for x in op1.templates(df).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_templates(rows, op1.DEPTH)
+    assert {got[i].split("/")[1] for i, x in enumerate(rows) if x[1][0] in ("s02", "s05", "s07")} == {"{s02+2}"}
+    assert {got[i] for i, x in enumerate(rows) if x[1][0] in ("s02", "s05", "s07") and x[1][1] == "q1"} == {"/{s02+2}/q1/*"}
+
+
 def test_verdicts_on_unlabelled_pages(spark):
     rows = site(2, 12000)
     pages = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s), i) for i, (h, s, _) in enumerate(rows)], "page_id long, url string, label_id long")
