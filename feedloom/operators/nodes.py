@@ -40,14 +40,6 @@ def relation(nodes: DataFrame) -> DataFrame:
     return nodes.select("page_id", "nid", place.alias("relation"))
 
 
-def with_tag_path(nodes: DataFrame) -> DataFrame:
-    """nodes with tag_path: the tags from the root down to the node itself."""
-    pair = nodes.select("page_id", "nid", "tag", F.posexplode(F.concat("anc", F.array("nid"))).alias("pos", "up"))
-    tags = nodes.select(F.col("page_id"), F.col("nid").alias("up"), F.col("tag").alias("up_tag"))
-    paths = pair.join(tags, ["page_id", "up"]).groupBy("page_id", "nid").agg(F.array_sort(F.collect_list(F.struct("pos", "up_tag"))).alias("t"))
-    return nodes.join(paths.select("page_id", "nid", F.transform("t", lambda x: x["up_tag"]).alias("tag_path")), ["page_id", "nid"])
-
-
 def short_text(nodes: DataFrame, limit: int = 50) -> DataFrame:
     """Elements whose first text node has fewer than limit code points; no text counts as none."""
     return nodes.where((F.col("kind") == "element") & (F.coalesce(F.char_length("xp_text"), F.lit(0)) < limit))

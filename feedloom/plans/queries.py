@@ -101,7 +101,7 @@ def node_paths(spark, d):
 
 def tag_paths(spark, d):
     pages, _ = _listing(spark, d)
-    nodes = N.with_tag_path(node_table(pages, partitions=_partitions(spark), raw=False))
+    nodes = node_table(pages, partitions=_partitions(spark), raw=False, tag_path=True)
     return nodes.groupBy(F.array_join("tag_path", "/").alias("tags")).agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.plans.pipeline import Extractor, Finder
+from feedloom.plans.queries import QUERIES
+from feedloom.sources.html import nodes as node_table
 
 BASE = "http://h.example/n/"
 
@@ -99,6 +101,23 @@ def test_text_rules(made):
     assert hashlib.md5(b"x").hexdigest()
 
 
+def test_tag_paths(spark):
+    """Every node has its own page's tags, whatever the page's id, by the parsing stage alone."""
+    rows = [(1, page("<ul><li>a<!-- c --></li></ul>")), (1, page("<p><b>x</b></p>")), (None, page("<p>y</p>"))]
+    made = node_table(spark.createDataFrame(rows, "page_id long, html string"), raw=False, tag_path=True)
+    got = sorted("/".join(t or "" for t in r["tag_path"]) for r in made.where("tag IS NULL OR tag NOT IN ('html', 'head', 'body', 'title')").collect())
+    assert got == ["html/body/p", "html/body/p", "html/body/p/b", "html/body/ul", "html/body/ul/li", "html/body/ul/li/"]
+
+
+def test_tag_paths_reads_pages_once(spark, tmp_path):
+    spark.sql("SELECT 5L AS o_custkey, id AS o_orderkey, timestamp'2020-01-02' AS o_orderdate FROM range(3)").write.parquet(str(tmp_path / "orders.parquet"))
+    df = QUERIES["tag_paths"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+    count = {"html/body/ul/li" + x: 3 for x in ("", "/a", "/span")} | {"html" + x: 1 for x in ("", "/head", "/head/title", "/body", "/body/ul")}
+    assert {r["tags"]: r["n"] for r in df.collect()} == count
+
+
 def test_discovery(spark):
     html = page(
         '<a href="/news"><img src="/i/rss_icon.png" alt="RSS"></a><a href="/feed/">x</a><a href="/feedback">f</a><a href="/rss/news.html">n</a><a href="/feed/">again</a><a href="/all">Our RSS</a><a href="/rss2.xml">later</a>',
