@@ -2,12 +2,14 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.plans.pipeline import Extractor, Finder
-from feedloom.plans.queries import QUERIES
+from feedloom.plans.queries import ORACLE, QUERIES
 from feedloom.sources.html import nodes as node_table
+from feedloom.sources.html import parse
 
 BASE = "http://h.example/n/"
 
@@ -118,6 +120,30 @@ def test_tag_paths_reads_pages_once(spark, tmp_path):
     assert {r["tags"]: r["n"] for r in df.collect()} == count
 
 
+TITLES = ["of a&amp;&amp;&amp", "b&quot", "c &lt;&copy &notit; &amp", " d &eacute;&#65; "]
+
+
+def titled(spark, path):
+    rows = [(i, BASE, page("<p>x</p>", f"<title>{t}</title>")) for i, t in enumerate(TITLES)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    return ["of a&&&amp", "b&quot", "c <&copy &notit; &amp", "d \u00e9A"]
+
+
+def test_title_cut_within_a_reference(spark, tmp_path):
+    """A name is a reference with its semicolon only, as in the SQL."""
+    want = titled(spark, tmp_path)
+    assert {r["page_id"]: r["title"] for r in QUERIES["page_title"](spark, str(tmp_path)).collect()} == dict(enumerate(want))
+    first = duckdb.sql(ORACLE["page_title"].replace("pages", f"'{tmp_path}/pages.parquet/*.parquet'") + " WHERE page_id < 2 ORDER BY page_id").fetchall()
+    assert first == [*enumerate(want[:2])]
+
+
+def test_references_in_attributes_and_raw_text():
+    root = parse('<body><a href="/x?a=1&copy=2&amp=3&amp;d=4" title=a&amp>t &amp</a><!-- &amp &amp; --><script>&amp; &amp</script></body>')
+    a, comment, script = root.children[0].children
+    assert a.attrs == {"href": "/x?a=1&copy=2&amp=3&d=4", "title": "a&amp"} and a.text == "t &amp"
+    assert (comment.text, script.text) == (" &amp &amp; ", "&amp; &amp")
+
+
 def test_discovery(spark):
     html = page(
         '<a href="/news"><img src="/i/rss_icon.png" alt="RSS"></a><a href="/feed/">x</a><a href="/feedback">f</a><a href="/rss/news.html">n</a><a href="/feed/">again</a><a href="/all">Our RSS</a><a href="/rss2.xml">later</a>',
