@@ -137,6 +137,14 @@ def test_title_cut_within_a_reference(spark, tmp_path):
     assert first == [*enumerate(want[:2])]
 
 
+def test_header_of_a_title_cut_within_a_reference(spark, tmp_path):
+    want = titled(spark, tmp_path)
+    got = {r["page_id"]: tuple(r)[1:] for r in QUERIES["feed_header"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t, "en", BASE, t, True) for i, t in enumerate(want)}
+    sql = duckdb.sql(ORACLE["feed_header"].replace("pages", f"'{tmp_path}/pages.parquet/*.parquet'") + " WHERE page_id < 2").fetchall()
+    assert {r[0]: r[1:] for r in sql} == {i: got[i] for i in (0, 1)}
+
+
 def test_references_in_attributes_and_raw_text():
     root = parse('<body><a href="/x?a=1&copy=2&amp=3&amp;d=4" title=a&amp>t &amp</a><!-- &amp &amp; --><script>&amp; &amp</script></body>')
     a, comment, script = root.children[0].children
