@@ -62,10 +62,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system; its allocators would keep it for later."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library than glibc
+        pass
+
+
 def arrow_map(df: DataFrame, work, schema) -> DataFrame:
-    """df.mapInArrow(work, schema) with this package at hand in the workers."""
+    """df.mapInArrow(work, schema) with this package at hand in the workers, which outlive their tasks but don't keep the memory."""
+
+    def tidy(batches):
+        yield from work(batches)
+        give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

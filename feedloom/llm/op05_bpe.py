@@ -21,7 +21,7 @@ MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in
 END = "</w>"
 #: Bytes, about, that the encodings of chunks between white space take in each of a Python worker's two generations of them; pairs
 #: of tokens whose border is remembered.
-CACHE, BORDERS = 96 << 20, 500_000
+CACHE, BORDERS = 48 << 20, 250_000
 #: Letters from which a word's states are worked out from the front, without recursion.
 DEEP = 200
 #: Texts in a piece of work: the more, the more prefixes are shared.
@@ -265,6 +265,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 at += SLICE
                 found = coder.encode_texts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.string())], names=["doc_id", "ids", "decoded"])
+                del found
+                common.give_back()  # a piece's words and tokens take more than the caches
 
     kind = df.schema[id_col].dataType.simpleString()
     return common.arrow_map(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), work, f"doc_id {kind}, ids binary, decoded string")
